@@ -17,7 +17,7 @@ from threadloom.functions.masking import RULE_NAMES, mask, mask_counts
 from threadloom.operators import answers, catalog, compress, extract, linking, ranking, report, traverse
 from threadloom.operators import vectors as vec
 from threadloom.plans import index, requests
-from threadloom.session import checkpoint_dir
+from threadloom.session import checkpoint_dir, cut_lineage
 from threadloom.streaming import jobs
 
 Spark = SparkSession
@@ -605,7 +605,9 @@ def call_refs(spark: Spark, sf: str) -> DataFrame:
 
 
 def _tables(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
-    return V.v_symbols(spark, sf), V.v_symbol_files(spark, sf)
+    """Symbol and file tables, written out once as an index would hold them."""
+    symbols = cut_lineage(V.v_symbols(spark, sf))
+    return symbols, V.files_of(symbols)
 
 
 def _links(spark: Spark, sf: str) -> linking.Links:
@@ -694,16 +696,17 @@ def seed_union(spark: Spark, sf: str) -> DataFrame:
 
 @query("bfs_distance", with_views(_REQUEST_VIEWS, "select * from dist", P.BFS_STEPS, recursive=True))
 def bfs_distance(spark: Spark, sf: str) -> DataFrame:
-    seeds = ranking.seed_union(V.v_requests(spark, sf), V.v_symbols(spark, sf))
-    return traverse.link_distance(seeds, _links(spark, sf))
+    symbols, files = _tables(spark, sf)
+    seeds = ranking.seed_union(V.v_requests(spark, sf), symbols)
+    return traverse.link_distance(seeds, linking.link_symbols(symbols, files))
 
 
 @query("bfs_distance_edges", with_views(_REQUEST_VIEWS, "select * from dist", P.BFS_STEPS, recursive=True))
 def bfs_distance_edges(spark: Spark, sf: str) -> DataFrame:
     """The same distances over the spelled-out edge list."""
-    symbols = V.v_symbols(spark, sf)
+    symbols, files = _tables(spark, sf)
     seeds = ranking.seed_union(V.v_requests(spark, sf), symbols)
-    return traverse.bfs_distance(seeds, linking.resolved_edges(_links(spark, sf)), symbols)
+    return traverse.bfs_distance(seeds, linking.resolved_edges(linking.link_symbols(symbols, files)), symbols)
 
 
 # ================================================================ ranking and packing
@@ -723,11 +726,15 @@ def keyword_score(spark: Spark, sf: str) -> DataFrame:
 
 
 def _scored(spark: Spark, sf: str) -> DataFrame:
-    return ranking.score_context(V.v_requests(spark, sf), V.v_symbols(spark, sf), _links(spark, sf))
+    symbols, files = _tables(spark, sf)
+    return ranking.score_context(V.v_requests(spark, sf), symbols, linking.link_symbols(symbols, files))
 
 
-def _ranked(spark: Spark, sf: str) -> DataFrame:
-    return ranking.rank_context(V.v_requests(spark, sf), V.v_symbols(spark, sf), _links(spark, sf))
+def _ranked(spark: Spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Ranking and the symbols it is about."""
+    symbols, files = _tables(spark, sf)
+    links = linking.link_symbols(symbols, files)
+    return ranking.rank_context(V.v_requests(spark, sf), symbols, links), symbols
 
 
 def _rank_sql(body: str) -> str:
@@ -736,7 +743,7 @@ def _rank_sql(body: str) -> str:
 
 @query("rank_context", _rank_sql("select request_id, id, round(score, 9) as score, distance, rank from ranked"))
 def rank_context(spark: Spark, sf: str) -> DataFrame:
-    return _ranked(spark, sf).withColumn("score", F.round("score", 9))
+    return _ranked(spark, sf)[0].withColumn("score", F.round("score", 9))
 
 
 @query("rank_order", _rank_sql("select request_id, id, rank from ranked"))
@@ -774,7 +781,7 @@ def line_order(spark: Spark, sf: str) -> DataFrame:
 
 
 def _rendered(spark: Spark, sf: str) -> DataFrame:
-    return compress.render(_ranked(spark, sf), V.v_symbols(spark, sf))
+    return compress.render(*_ranked(spark, sf))
 
 
 @query("pack_by_file", _rank_sql("select request_id, file_path, piece, text from framed"))
@@ -806,7 +813,8 @@ def compress_context(spark: Spark, sf: str) -> DataFrame:
     ),
 )
 def elided_bodies(spark: Spark, sf: str) -> DataFrame:
-    return compress.elided_bodies(_rendered(spark, sf), V.v_symbols(spark, sf))
+    ranked, symbols = _ranked(spark, sf)
+    return compress.elided_bodies(compress.render(ranked, symbols), symbols)
 
 
 @query(
@@ -817,11 +825,12 @@ def elided_bodies(spark: Spark, sf: str) -> DataFrame:
     ),
 )
 def included_symbols(spark: Spark, sf: str) -> DataFrame:
-    return ranking.included_symbols(_ranked(spark, sf))
+    return ranking.included_symbols(_ranked(spark, sf)[0])
 
 
 def optimize(spark: Spark, sf: str) -> requests.Optimized:
-    return requests.optimize(V.v_requests(spark, sf), V.v_symbols(spark, sf), _links(spark, sf))
+    symbols, files = _tables(spark, sf)
+    return requests.optimize(V.v_requests(spark, sf), symbols, linking.link_symbols(symbols, files))
 
 
 @query(
@@ -1064,7 +1073,8 @@ def audit_rows(spark: Spark, sf: str) -> DataFrame:
         F.lit(5).alias("duration_ms"),
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"),
     )
-    return answers.audit_rows(described, answers.answer_lookup(asked, V.v_answer_cache(spark, sf)), tokens)
+    rows = answers.audit_rows(described, answers.answer_lookup(asked, V.v_answer_cache(spark, sf)), tokens)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 _REPORT = """
@@ -1075,16 +1085,16 @@ _REPORT = """
   (coalesce(sum(raw_tokens) filter (raw_tokens > 0), 0)
     - coalesce(sum(optimized_tokens) filter (raw_tokens > 0), 0))::bigint as saved_tokens,
   round((sum(raw_tokens) filter (raw_tokens > 0) - sum(optimized_tokens) filter (raw_tokens > 0)) * 100.0::double
-    / sum(raw_tokens) filter (raw_tokens > 0), 6) as saved_percent,
-  round(avg(savings_percent) filter (raw_tokens > 0), 6) as mean_savings_percent,
-  round(avg(duration_ms) filter (raw_tokens > 0), 6) as mean_duration_ms,
+    / sum(raw_tokens) filter (raw_tokens > 0), 8) as saved_percent,
+  round(avg(savings_percent) filter (raw_tokens > 0), 8) as mean_savings_percent,
+  round(avg(duration_ms) filter (raw_tokens > 0), 8) as mean_duration_ms,
   round((coalesce(sum(raw_tokens) filter (raw_tokens > 0), 0)
-    - coalesce(sum(optimized_tokens) filter (raw_tokens > 0), 0))::bigint * 2.5::double / 1000000, 6) as dollars_saved"""
+    - coalesce(sum(optimized_tokens) filter (raw_tokens > 0), 0))::bigint * 2.5::double / 1000000, 8) as dollars_saved"""
 _ROUNDED = ["saved_percent", "mean_savings_percent", "mean_duration_ms", "dollars_saved"]
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in _ROUNDED})
+    return df.withColumns({c: F.round(c, 8) for c in _ROUNDED})
 
 
 @query("savings_report", with_views(["v_audit"], f"select {_REPORT} from v_audit"))
@@ -1141,7 +1151,7 @@ def _folder(spark: Spark, name: str) -> str:
 
 def _stream(spark: Spark, sf: str, name: str) -> DataFrame:
     schema = V.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
 @query(
@@ -1195,7 +1205,12 @@ def stream_answer_lookup(spark: Spark, sf: str) -> DataFrame:
     ),
 )
 def windowed_savings(spark: Spark, sf: str) -> DataFrame:
-    return _rounded(jobs.windowed_savings(V.v_audit(spark, sf)))
+    return _plain_windows(jobs.windowed_savings(V.v_audit(spark, sf)))
+
+
+def _plain_windows(df: DataFrame) -> DataFrame:
+    """Window bounds without time zone."""
+    return _rounded(df).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 @query(
@@ -1213,4 +1228,4 @@ def stream_savings(spark: Spark, sf: str) -> DataFrame:
     jobs.stream_savings(
         V.audit_of(_stream(spark, sf, "events")), out, _folder(spark, "offsets")
     ).awaitTermination()
-    return _rounded(spark.read.parquet(out))
+    return _plain_windows(spark.read.parquet(out))

@@ -132,14 +132,19 @@ def v_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v_symbol_files(spark: SparkSession, sf: str) -> DataFrame:
+    return files_of(v_symbols(spark, sf))
+
+
+def files_of(symbols: DataFrame) -> DataFrame:
+    """One row per file of ``v_symbols``, with what it imports."""
+
     def near(step: int) -> Column:
         return F.concat(((F.col("n") + step) % 20).cast("string"), F.lit("_"), F.col("g").cast("string"))
 
     by_name = F.concat(F.lit("lib/src"), near(1))
     by_text = F.concat(F.lit("ws/src"), near(2), F.lit("/m1"))
     return (
-        v_symbols(spark, sf)
-        .groupBy("file_path", "dir", "n", "g", "k")
+        symbols.groupBy("file_path", "dir", "n", "g", "k")
         .agg(F.count("*").alias("n_symbols"))
         .select(
             "file_path",
@@ -294,5 +299,5 @@ def audit_of(events: DataFrame) -> DataFrame:
         optimized.alias("optimized_tokens"),
         F.when(raw > 0, (raw - optimized) * 100.0 / raw).otherwise(0.0).alias("savings_percent"),
         (F.col("event_id") % 500).cast("int").alias("duration_ms"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.paths import directory, last_segment, package, simple_name
 from threadloom.operators.skew import spread_join
 from threadloom.operators.substring import substring_matches
+from threadloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,7 @@ def file_scopes(files: DataFrame, symbols: DataFrame | None = None) -> Scopes:
         .unionByName(by_text)
         .select("scope", "file_path")
     )
-    return Scopes(sees, holds)
+    return Scopes(cut_lineage(sees), cut_lineage(holds))
 
 
 def visible_scopes(scopes: Scopes) -> DataFrame:
@@ -88,14 +89,14 @@ def visible_scopes(scopes: Scopes) -> DataFrame:
 
 
 def call_names(symbols: DataFrame) -> DataFrame:
-    """Simple names a symbol calls, from its ``dependencies``: (id, file_path, name)."""
+    """Simple names a symbol calls, from its ``dependencies``: (id, file_path, name), repeats kept."""
     return symbols.select(
         "id", "file_path", F.explode("dependencies").alias("call")
-    ).select("id", "file_path", simple_name(F.col("call")).alias("name")).distinct()
+    ).select("id", "file_path", simple_name(F.col("call")).alias("name"))
 
 
 def lexical_names(symbols: DataFrame) -> DataFrame:
-    """Simple names that occur as text in the body of a symbol: (id, file_path, name).
+    """Simple names that occur as text in the body of a symbol: (id, file_path, name), repeats kept.
 
     Names are identifiers, so an occurrence lies inside one run of word characters: the bodies are
     joined to the names through the vocabulary of such runs.
@@ -109,31 +110,31 @@ def lexical_names(symbols: DataFrame) -> DataFrame:
         symbols.select(simple_name(F.col("name")).alias("term")).distinct(),
         runs.select("word").distinct(),
     )
-    return (
-        runs.join(matches, "word").select("id", "file_path", F.col("term").alias("name")).distinct()
-    )
+    return runs.join(matches, "word").select("id", "file_path", F.col("term").alias("name"))
 
 
 def factored_links(symbols: DataFrame, scopes: Scopes, names: DataFrame) -> Links:
     """Resolve ``names(id, file_path, name)`` through the scopes."""
-    defs = (
+    defs = cut_lineage(
         symbols.select("id", "file_path", simple_name(F.col("name")).alias("name"))
         .join(scopes.holds, "file_path")
         .select("scope", "name", "id")
     )
     refs = (
         names.join(scopes.sees, "file_path")
-        .select("id", "scope", "name")
         .join(defs.select("scope", "name").distinct(), ["scope", "name"], "left_semi")
+        .select("id", "scope", "name")
+        .distinct()
     )
     return Links(refs, defs)
 
 
 def link_symbols(symbols: DataFrame, files: DataFrame) -> Links:
-    """Links from calls and from names found in bodies."""
+    """Links from calls and from names found in bodies, materialised for the many uses they have."""
     scopes = file_scopes(files, symbols)
-    names = call_names(symbols).unionByName(lexical_names(symbols)).distinct()
-    return factored_links(symbols, scopes, names)
+    names = call_names(symbols).unionByName(lexical_names(symbols))
+    links = factored_links(symbols, scopes, names)
+    return Links(cut_lineage(links.refs), links.defs)
 
 
 def resolved_edges(links: Links) -> DataFrame:

@@ -98,11 +98,20 @@ def term_weights(symbols: DataFrame, terms: DataFrame) -> DataFrame:
         ),
     ).where(F.octet_length("word") >= MIN_TERM_BYTES)
     matches = substring_matches(terms.select("term").distinct(), words.select("word").distinct())
-    return words.join(matches, "word").groupBy("term", "id").agg(F.max("weight").alias("weight"))
+    return (
+        words.join(matches, "word")
+        .repartition("id")
+        .groupBy("term", "id")
+        .agg(F.max("weight").alias("weight"))
+    )
 
 
 def keyword_hits(requests: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Summed keyword weight of each (request, symbol) with at least one hit."""
+    """Summed keyword weight of each (request, symbol) with at least one hit.
+
+    The weights are spread by symbol, which serves both aggregations: as long as the terms of the
+    requests fit a broadcast, nothing is shuffled again on the way from words to sums.
+    """
     terms = request_terms(requests)
     return (
         term_weights(symbols, terms)

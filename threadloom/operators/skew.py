@@ -14,40 +14,40 @@ ROWS_PER_BUCKET = 1_000_000
 
 @dataclass(frozen=True)
 class Dealt:
-    """Build side of a join with the rows of hot keys dealt over buckets."""
+    """Build side of a join; ``hot`` lists the keys whose rows are dealt over buckets, if any."""
 
     rows: DataFrame
-    hot: DataFrame
+    hot: DataFrame | None
     keys: list[str]
 
 
-def deal(
-    build: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET, keep: bool = False
-) -> Dealt:
+def deal(build: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> Dealt:
     """Deal the rows of every key with more than ``rows_per_bucket`` rows over several buckets.
 
-    At most ``count(build) / rows_per_bucket`` keys are hot, so the table of hot keys stays tiny.
-    ``keep`` materialises the outcome for repeated use.
+    The keys are counted first. At most ``count(build) / rows_per_bucket`` of them are hot, so the table
+    of hot keys is tiny; when there is none the join stays an ordinary one.
     """
-    hot = (
+    hot = cut_lineage(
         build.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > rows_per_bucket)
         .select(*keys, F.ceil(F.col("_n") / rows_per_bucket).cast("int").alias("_buckets"))
     )
-    if keep:
-        hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return Dealt(build, None, keys)
     bucket = F.pmod(F.xxhash64(*build.columns), F.col("_buckets").cast("bigint")).cast("int")
     rows = (
         build.join(hot, keys, "left")
         .withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
         .drop("_buckets")
     )
-    return Dealt(cut_lineage(rows) if keep else rows, hot, keys)
+    return Dealt(rows, hot, keys)
 
 
 def spread(probe: DataFrame, dealt: Dealt) -> DataFrame:
     """Inner join of ``probe`` with a dealt side; every pair meets exactly once."""
+    if dealt.hot is None:
+        return probe.join(dealt.rows, dealt.keys)
     repeated = (
         probe.join(dealt.hot, dealt.keys, "left")
         .withColumn(

@@ -5,31 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
+from threadloom.session import cut_lineage
+
+# Lengths of the grams; a term is looked up by the longest that fits it. Longer ones are far rarer.
+GRAM_SIZES = [3, 4, 6, 8]
+SHORT_SIZES = [1, 2]
 
 
 def _grams(text: Column, size: int) -> Column:
-    """All distinct substrings of ``size`` characters."""
-    last = F.char_length(text) - size + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _word_grams(text: Column) -> Column:
-    """Grams a term of any length may be looked up by: three characters, or fewer for short terms."""
-    return F.concat(_grams(text, 1), _grams(text, 2), _grams(text, GRAM))
-
-
-def _term_grams(text: Column) -> Column:
-    return (
-        F.when(F.char_length(text) >= GRAM, _grams(text, GRAM))
-        .when(F.char_length(text) == 2, F.array(text))
-        .otherwise(F.array(text))
-    )
+    """All distinct substrings of ``size`` characters, found at every position by a look-ahead."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _term_grams(term: Column) -> Column:
+    grams = F.array(term)
+    for size in GRAM_SIZES:
+        grams = F.when(F.char_length(term) >= size, _grams(term, size)).otherwise(grams)
+    return grams
 
 
 def substring_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
@@ -38,21 +30,28 @@ def substring_matches(terms: DataFrame, words: DataFrame) -> DataFrame:
     ``terms(term)`` and ``words(word)`` are distinct vocabularies, so the work grows with the number
     of different words, not with the text. A term is looked up by the rarest of its grams; the pair is
     then checked with ``contains``. No pair is missed: a word holding the term holds all its grams.
+    Grams below three characters are made only when some term is that short.
     """
     terms = terms.where(F.col("term") != "")
-    term_grams = terms.select("term", F.explode(_term_grams(F.col("term"))).alias("gram"))
-    word_grams = words.select("word", F.explode(_word_grams(F.col("word"))).alias("gram")).join(
-        term_grams.select("gram").distinct(), "gram", "left_semi"
+    short = not terms.where(F.char_length("term") < GRAM_SIZES[0]).isEmpty()
+    sizes = SHORT_SIZES + GRAM_SIZES if short else GRAM_SIZES
+    grams = F.flatten(F.array(*[_grams(F.col("word"), size) for size in sizes]))
+    # Written tables have a known size, so the small side of each join is broadcast when it is small.
+    term_grams = cut_lineage(terms.select("term", F.explode(_term_grams(F.col("term"))).alias("gram")))
+    word_grams = cut_lineage(
+        words.select("word", F.explode(grams).alias("gram")).join(
+            term_grams.select("gram").distinct(), "gram", "left_semi"
+        )
     )
-    sizes = word_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    lookup = (
-        term_grams.join(sizes, "gram")
+    frequency = word_grams.groupBy("gram").agg(F.count("*").alias("n"))
+    lookup = cut_lineage(
+        term_grams.join(frequency, "gram")
         .groupBy("term")
         .agg(F.min(F.struct("n", "gram")).alias("best"))
         .select("term", F.col("best.gram").alias("gram"))
     )
-    return (
-        lookup.join(word_grams, "gram")
+    return cut_lineage(
+        word_grams.join(lookup, "gram")
         .where(F.col("word").contains(F.col("term")))
         .select("term", "word")
     )

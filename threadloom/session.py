@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,8 +45,15 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise reliably so that later steps neither recompute nor replan what came before.
+    """Write the table to the shared folder and read it back.
 
-    Without a shared folder the plan is left as it is: slower, still right.
+    Later steps neither recompute nor replan what came before, survive lost executors, read only the
+    columns they need, and know the size, by which Spark picks broadcast joins. Without a shared folder
+    the plan is left as it is: slower, still right.
     """
-    return df.checkpoint(eager=True) if checkpoint_dir(df.sparkSession) else df
+    folder = checkpoint_dir(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/threadloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
