@@ -11,6 +11,7 @@ from threadloom.functions.paths import is_hidden
 from threadloom.operators.catalog import changed_files, unchanged_files
 from threadloom.operators.extract import describe_files, extract_symbols
 from threadloom.operators.linking import Links, link_symbols
+from threadloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -21,11 +22,14 @@ class Index:
 
 
 def index_sources(sources: DataFrame, root: str = "") -> Index:
-    """Index of ``sources(file_path, content)``; hidden paths below ``root`` and broken files are left out."""
+    """Index of ``sources(file_path, content)``; hidden paths below ``root`` and broken files are left out.
+
+    The tables are written once: linking reads the symbols several times.
+    """
     relative = F.substring(F.col("file_path"), len(root) + 1, 2**31 - 1)
     files = describe_files(sources.where(~is_hidden(relative)))
-    symbols = extract_symbols(files)
-    good = files.where(F.col("parse_status") == "ok").drop("content", "parse_status")
+    symbols = cut_lineage(extract_symbols(files))
+    good = cut_lineage(files.where(F.col("parse_status") == "ok").drop("content", "parse_status"))
     return Index(good, symbols, link_symbols(symbols, good))
 
 
