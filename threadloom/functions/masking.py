@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.let import let
 from threadloom.functions.text import entropy, fields
 
 # ASCII word boundary: Java's own one also looks at accented letters.
@@ -105,6 +106,35 @@ RULES = [
 RULE_NAMES = [r.name for r in RULES]
 
 
+def _masked(text: Column, rules: list[Rule]) -> Column:
+    """struct<text, counts>: the masked text and the number of items per rule.
+
+    Each step binds its input and its values once, so the expression grows by one step per rule and
+    stays of that size when the optimizer moves it into a filter.
+    """
+
+    def step(state: Column, rule: Rule) -> Column:
+        def apply(now: Column) -> Column:
+            def replaced(values: Column) -> Column:
+                hits = F.size(values)
+                if rule.per_label:
+                    seen = now["text"].contains(rule.placeholder)
+                    hits = F.when((hits > 0) & ~seen, 1).otherwise(0)
+                return F.struct(
+                    _replace_each(now["text"], values, rule.placeholder).alias("text"),
+                    F.concat(now["counts"], F.array(hits)).alias("counts"),
+                )
+
+            return let(rule.values(now["text"], text), replaced)
+
+        return let(state, apply)
+
+    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+    for rule in rules:
+        state = step(state, rule)
+    return state
+
+
 def mask(
     df: DataFrame,
     text: str,
@@ -114,37 +144,20 @@ def mask(
 ) -> DataFrame:
     """Add the masked text and the number of masked items; keeps all other columns.
 
-    Every rule is a projection of its own, so each value list is computed once per row.
     Label rules count once per label, the others once per value found.
     """
     chosen = [r for r in RULES if rules is None or r.name in rules]
-    out = df.withColumns({into: F.col(text), count: F.lit(0)})
-    for rule in chosen:
-        out = out.withColumn("_values", rule.values(F.col(into), F.col(text)))
-        hits = F.size("_values")
-        if rule.per_label:
-            hits = ((hits > 0) & ~F.col(into).contains(rule.placeholder)).cast("int")
-        out = out.withColumns(
-            {
-                count: F.col(count) + hits,
-                into: _replace_each(F.col(into), F.col("_values"), rule.placeholder),
-            }
-        ).drop("_values")
-    return out
+    total = F.aggregate(F.col("_masked.counts"), F.lit(0), lambda acc, n: acc + n)
+    return (
+        df.withColumn("_masked", _masked(F.col(text), chosen))
+        .withColumns({into: F.col("_masked.text"), count: total})
+        .drop("_masked")
+    )
 
 
 def mask_counts(df: DataFrame, text: str) -> DataFrame:
     """Number of masked items per rule, each as the full chain counts it."""
-    out = df.withColumn("_now", F.col(text))
-    for rule in RULES:
-        out = out.withColumn("_values", rule.values(F.col("_now"), F.col(text)))
-        hits = F.size("_values")
-        if rule.per_label:
-            hits = ((hits > 0) & ~F.col("_now").contains(rule.placeholder)).cast("int")
-        out = out.withColumns(
-            {
-                f"n_{rule.name.lower()}": hits,
-                "_now": _replace_each(F.col("_now"), F.col("_values"), rule.placeholder),
-            }
-        ).drop("_values")
-    return out.drop("_now")
+    counts = {
+        f"n_{rule.name.lower()}": F.element_at("_masked.counts", i + 1) for i, rule in enumerate(RULES)
+    }
+    return df.withColumn("_masked", _masked(F.col(text), RULES)).withColumns(counts).drop("_masked")
