@@ -7,6 +7,8 @@ own row: no shuffle, and the text never leaves the JVM (only numbers per line do
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,23 @@ FUNCTIONS = {
     "kotlin": r"\bfun\s+(?:<[\w\s,]+>\s+)?(?:[\w\.]+\.)?([A-Za-z0-9_]+)\s*\(",
 }
 GROUPS = {"javascript": 3, "typescript": 3}
+# A line without any of these cannot match; spares the pattern on most lines.
+_CLASS_HINTS = {
+    "java": ["class", "interface", "enum", "record"],
+    "python": ["class"],
+    "javascript": ["class"],
+    "typescript": ["class", "interface", "enum"],
+    "csharp": ["class", "interface", "struct", "enum", "record"],
+    "kotlin": ["class", "interface", "object"],
+}
+_FUNCTION_HINTS = {
+    "java": ["("],
+    "python": ["def"],
+    "javascript": ["(", "function", "=>"],
+    "typescript": ["(", "function", "=>"],
+    "csharp": ["("],
+    "kotlin": ["fun"],
+}
 # Control words that the function patterns of brace languages also match.
 CONTROL_WORDS = ["if", "for", "while", "switch", "catch", "with"]
 
@@ -174,34 +193,32 @@ def describe_files(sources: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- symbols
 
 
-def _declaration(number: Column, kind: str, name: Column, signature: Column) -> Column:
-    return F.struct(
-        name.alias("name"), number.alias("line"), F.lit(kind).alias("type"), signature.alias("signature")
-    )
-
-
 def _found(all_lines: Column, kind: str, table: dict[str, str], lang: str) -> Column:
+    """Name, line number, kind and line of every declaration; other lines have an empty name."""
     pattern = _pattern(table, lang)
     groups = GROUPS.get(lang, 1) if table is FUNCTIONS else 1
+    hints = (_FUNCTION_HINTS if table is FUNCTIONS else _CLASS_HINTS)[lang]
 
     def one(line: Column, index: Column) -> Column:
         name = F.concat(*[F.regexp_extract(line, pattern, g + 1) for g in range(groups)])
-        return _declaration(index + 1, kind, name, trim_space(line))
+        possible = reduce(or_, [line.contains(h) for h in hints])
+        return F.struct(
+            F.when(possible, name).otherwise("").alias("name"),
+            (index + 1).alias("line"),
+            F.lit(kind).alias("type"),
+            line.alias("signature"),
+        )
 
-    return F.transform(all_lines, one)
+    return F.filter(F.transform(all_lines, one), lambda d: d["name"] != "")
 
 
 def _general(all_lines: Column, lang: str, drop_keywords: bool) -> Column:
     both = F.concat(
         _found(all_lines, "class", CLASSES, lang), _found(all_lines, "function", FUNCTIONS, lang)
     )
-    unwanted = CONTROL_WORDS if drop_keywords else []
-    return F.filter(
-        both,
-        lambda d: (d["name"] != "") & ~((d["type"] == "function") & d["name"].isin(unwanted))
-        if unwanted
-        else d["name"] != "",
-    )
+    if not drop_keywords:
+        return both
+    return F.filter(both, lambda d: ~((d["type"] == "function") & d["name"].isin(CONTROL_WORDS)))
 
 
 def _go(all_lines: Column) -> Column:
@@ -245,10 +262,12 @@ def declarations(files: DataFrame, drop_keywords: bool = False) -> DataFrame:
     found = F.when(lang == "go", _go(all_lines))
     for name in CLASSES:
         found = found.when(lang == name, _general(all_lines, name, drop_keywords))
-    located = (
-        text.withColumn("found", found)
-        .where(F.size("found") > 0)
-        .withColumn("code", F.when(lang == "go", F.transform(all_lines, _go_line)).otherwise(all_lines))
+    # No filter on the found ones here: it would be pushed down and find them a second time.
+    located = text.withColumns(
+        {
+            "found": found,
+            "code": F.when(lang == "go", F.transform(all_lines, _go_line)).otherwise(all_lines),
+        }
     )
     by_brace = lang != "python"
     code = F.col("code")
@@ -269,7 +288,7 @@ def declarations(files: DataFrame, drop_keywords: bool = False) -> DataFrame:
             d["type"].alias("type"),
             d["line"].alias("line_start"),
             end.alias("line_end"),
-            d["signature"].alias("signature"),
+            F.when(lang == "go", d["signature"]).otherwise(trim_space(d["signature"])).alias("signature"),
             block_body(all_lines, d["line"], end).alias("body"),
         )
 
