@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.let import let
 from threadloom.functions.text import entropy
+from threadloom.session import cut_lineage
 
 # ASCII word boundary: Java's own one also looks at accented letters.
 _EDGE = (
@@ -166,3 +167,45 @@ def mask_counts(df: DataFrame, text: str) -> DataFrame:
         f"n_{rule.name.lower()}": F.element_at("_masked.counts", i + 1) for i, rule in enumerate(RULES)
     }
     return df.withColumn("_masked", _masked(F.col(text), RULES)).withColumns(counts).drop("_masked")
+
+
+def mask_parts(df: DataFrame, group: str, order: list[str], text: str, into: str, count: str) -> DataFrame:
+    """Mask texts that come in several rows per ``group``, read in ``order``, as one text each.
+
+    A value found in any row of a group is hidden in all of them, in order of first appearance, and
+    placeholders are looked for in the whole group. The number of items stands on the first row. One
+    round per rule; only the values found travel, the texts stay where they are.
+    """
+    out = df.withColumns({into: F.col(text), "_n": F.lit(0).cast("bigint")})
+    for rule in RULES:
+        out = cut_lineage(out)
+        found = out.select(
+            group, *order, F.posexplode(rule.values(F.col(into), F.col(text))).alias("_at", "_value")
+        )
+        values = (
+            found.groupBy(group, "_value")
+            .agg(F.min(F.struct(*order, "_at")).alias("_first"), F.count("*").alias("_times"))
+            .groupBy(group)
+            .agg(
+                F.array_sort(F.collect_list(F.struct("_first", "_value"))).alias("_values"),
+                F.sum("_times").alias("_times"),
+            )
+        )
+        hits = F.col("_times")
+        if rule.per_label:
+            seen = out.where(F.col(into).contains(rule.placeholder)).select(group).distinct()
+            values = values.join(seen.withColumn("_seen", F.lit(True)), group, "left")
+            hits = F.when(F.col("_seen"), 0).otherwise(1)
+        values = cut_lineage(values.select(group, F.col("_values._value").alias("_values"), hits.alias("_hits")))
+        hidden = _replace_each(F.col(into), F.col("_values"), rule.placeholder)
+        out = out.join(values, group, "left").select(
+            *df.columns,
+            F.when(F.col("_values").isNull(), F.col(into)).otherwise(hidden).alias(into),
+            (F.col("_n") + F.coalesce("_hits", F.lit(0))).alias("_n"),
+        )
+    out = cut_lineage(out)
+    first = out.groupBy(group).agg(F.min(F.struct(*order)).alias("_first"))
+    is_first = F.struct(*order) == F.col("_first")
+    return out.join(first, group).withColumn(count, F.when(is_first, F.col("_n")).otherwise(0).cast("int")).select(
+        *df.columns, into, count
+    )

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from threadloom.functions.hashing import ccr_key
 from threadloom.functions.paths import fence
 from threadloom.functions.text import clean_lines, savings_percent, skeleton, token_estimate
+from threadloom.session import cut_lineage
 
 FULL_SCORE = 0.8
 LINES_PER_PIECE = 2000
 MAX_PROMPT_BYTES = 64 * 1024 * 1024
 RETRIEVE_TOOL = "context_retrieve"
+WHOLE_STAGE, SECTION_STAGE, QUESTION_STAGE = 0, 1, 2
 
 
 def preamble(tool: str = RETRIEVE_TOOL) -> str:
@@ -118,32 +120,37 @@ def pack_by_file(rendered: DataFrame) -> DataFrame:
 def assemble(
     sections: DataFrame, max_bytes: int = MAX_PROMPT_BYTES, tool: str = RETRIEVE_TOOL
 ) -> DataFrame:
-    """Prompts: (request_id, file_path, piece, prompt).
+    """Prompts: (request_id, stage, file_path, piece, prompt).
 
-    A prompt of at most ``max_bytes`` is one row with a null file_path. A bigger one stays in sections,
-    preamble first; joined in (file_path, piece) order they are the same prompt.
+    A prompt of at most ``max_bytes`` is one row at stage 0. A bigger one stays in rows: the preamble at
+    stage 0 and the sections at stage 1; joined in (stage, file_path, piece) order they are the prompt.
     """
+    sections = cut_lineage(sections)
     sizes = sections.groupBy("request_id").agg(F.sum(F.octet_length("text")).alias("_bytes"))
-    sized = sections.join(sizes, "request_id")
+    small, big = sizes.where(F.col("_bytes") <= max_bytes), sizes.where(F.col("_bytes") > max_bytes)
     intro = F.lit(preamble(tool))
-    whole = (
-        sized.where(F.col("_bytes") <= max_bytes)
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("file_path", "piece", "text"))).alias("rows"))
-        .select(
+
+    def first_stage(df: DataFrame, prompt: Column) -> DataFrame:
+        return df.select(
             "request_id",
-            F.lit(None).cast("string").alias("file_path"),
+            F.lit(WHOLE_STAGE).alias("stage"),
+            F.lit("").alias("file_path"),
             F.lit(0).alias("piece"),
-            F.concat(intro, F.array_join(F.col("rows.text"), "")).alias("prompt"),
+            prompt.alias("prompt"),
         )
+
+    joined = (
+        sections.join(small, "request_id")
+        .groupBy("request_id")
+        .agg(F.array_sort(F.collect_list(F.struct("file_path", "piece", "text"))).alias("rows"))
     )
-    big = sized.where(F.col("_bytes") > max_bytes)
-    return whole.unionByName(
-        big.select("request_id", "file_path", "piece", F.col("text").alias("prompt"))
-    ).unionByName(
-        sizes.where(F.col("_bytes") > max_bytes).select(
-            "request_id", F.lit("").alias("file_path"), F.lit(0).alias("piece"), intro.alias("prompt")
-        )
+    parts = sections.join(big, "request_id").select(
+        "request_id", F.lit(SECTION_STAGE).alias("stage"), "file_path", "piece", F.col("text").alias("prompt")
+    )
+    return (
+        first_stage(joined, F.concat(intro, F.array_join(F.col("rows.text"), "")))
+        .unionByName(first_stage(big, intro))
+        .unionByName(parts)
     )
 
 
