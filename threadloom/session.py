@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHARED = "spark.checkpoint.dir"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: int | str = "*", name: str = "threadloom", memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -20,40 +23,54 @@ def local_session(cpus: int | str = "*", name: str = "threadloom", memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
+        .config(SHARED, tempfile.mkdtemp(prefix="threadloom-"))
         .getOrCreate()
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """Shared folder for materialised intermediate tables, or None when there is none.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session gets a folder of its own.
+    It is the one named in ``spark.checkpoint.dir`` or set as checkpoint folder; without either it lies in the
+    warehouse, which is shared as well. The kind of master plays no part.
     """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="threadloom-checkpoint-")
-        sc.setCheckpointDir(own)
-        return own
-    return None
+    named = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_threadloom"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder and read it back.
 
     Later steps neither recompute nor replan what came before, survive lost executors, read only the
-    columns they need, and know the size, by which Spark picks broadcast joins. Without a shared folder
-    the plan is left as it is: slower, still right.
+    columns they need, and know the size, by which Spark picks broadcast joins. The shuffle files of the
+    write are dropped when it ends. ``release`` deletes the table; what is left goes when the session ends.
     """
-    folder = checkpoint_dir(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/threadloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/threadloom-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    where, fs = _files(spark, path)
+    fs.deleteOnExit(where)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` returned; nothing may read them later."""
+    for table in tables:
+        where, fs = _files(table.sparkSession, table._written_to)
+        fs.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
