@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as decon
-from threadloom.llm import packing, toxicity
+from threadloom.llm import near_vectors, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,42 @@ def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed(spark, table(spark, sf, "documents"))
+
+
+OP4_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings
+                     where embedding is not null and len(embedding) > 0
+                       and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+                       and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as i, b.vec_id as j from v a, v b
+          where a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(i, j) as (select vec_id, vec_id from embeddings union select r.i, l.j from reach r join links l on r.j = l.i)
+select e.vec_id, (select count(*) from links where i = e.vec_id)::bigint as n_links,
+       c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select i, min(j) as component_id from reach group by i) c on c.i = e.vec_id
+"""
+
+
+@query("op4_embedding_near_dedup", OP4_SQL)
+def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_vectors.near_vectors(table(spark, sf, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf, "documents"), 16)
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
