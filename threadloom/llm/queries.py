@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as decon
-from threadloom.llm import near_vectors, packing, sharding, toxicity
+from threadloom.llm import line_templates, near_vectors, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +132,14 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = line_templates.drop_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return left.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
