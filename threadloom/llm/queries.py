@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as decon
-from threadloom.llm import line_templates, near_vectors, packing, sharding, toxicity
+from threadloom.llm import line_templates, near_vectors, ngram_join, packing, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,3 +143,24 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.col("_n_dropped").alias("n_dropped"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+OP7_SQL = rf"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w
+                         from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+      from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from s group by doc_id),
+links as (select x.doc_id as i, y.doc_id as j from s x join s y on x.g = y.g and x.doc_id <> y.doc_id
+          join sizes a on a.doc_id = x.doc_id join sizes b on b.doc_id = y.doc_id
+          group by x.doc_id, y.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(i, j) as (select doc_id, doc_id from documents union select r.i, l.j from reach r join links l on r.j = l.i)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id
+from documents d left join sizes using (doc_id) join (select i, min(j) as component_id from reach group by i) c on c.i = d.doc_id
+"""
+
+
+@query("op7_ngram_jaccard_join", OP7_SQL)
+def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = ngram_join.ngram_join(table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
