@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as decon
-from threadloom.llm import line_templates, near_vectors, ngram_join, packing, sharding, toxicity
+from threadloom.llm import line_templates, near_vectors, ngram_join, sharding, stages, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,21 +77,9 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select(
-        F.col("id").alias("doc_id"),
-        "start",
-        "length",
-        F.col("crc").alias("ids_crc32"),
-        F.col("total").alias("doc_tokens"),
-        F.col("sequence").alias("sequence_id"),
-        "offset",
-    )
-
-
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packed(spark, table(spark, sf, "documents"))
+    return stages.pack_sequences(spark, table(spark, sf, "documents"), sf)
 
 
 OP4_SQL = """
