@@ -161,14 +161,15 @@ def fit_sample(
     """The labelled texts to learn from: none held out, at most ``FIT_DOCS`` of a class."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_label in (0, 1)")
     marked = marked.where(~held_out("_id")).groupBy("_id").agg(F.max("_label").alias("_label"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.where(F.octet_length("_text").between(1, FIT_BYTES)).join(marked, "_id")
-
-    def of(label: int) -> list[bytes]:
-        few = rows.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_text").limit(FIT_DOCS)
-        return [r[0].encode() for r in few.select("_text").collect()]
-
-    return of(0), of(1)
+    sizes = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_col).alias("_size")).where(F.col("_size").between(1, FIT_BYTES))
+    known = sizes.select("_id").join(marked, "_id").distinct()
+    by_hash = F.xxhash64("_id")
+    few = {y: [r[0] for r in known.where(F.col("_label") == y).orderBy(by_hash, "_id").limit(FIT_DOCS).select("_id").collect()] for y in (0, 1)}
+    chosen = docs.sparkSession.createDataFrame([(i, y) for y, ids in few.items() for i in ids], marked.schema)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = texts.where(F.octet_length("_text").between(1, FIT_BYTES)).groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    found = sorted(rows.select("_label", "_id", "_text").collect(), key=lambda r: (r[0], str(r[1])))
+    return [r[2].encode() for r in found if r[0] == 0], [r[2].encode() for r in found if r[0] == 1]
 
 
 def held_out(id_col: str):
