@@ -12,7 +12,8 @@ links. At most ``FREQUENT`` of them travel to the tasks.
 
 Links are needed for their classes only. So each branch first offers its members to its smallest one; whole groups of near
 copies become one class by that, in as many pairs as the branch has members. Only branches that still hold several classes
-go on to the tree, and only pairs of different classes are looked at there, in tiles of bounded size. Copies of one set
+go on to the tree, one branch for all that have the same members, and only pairs of different classes are looked at there, in tiles of
+bounded size. Copies of one set
 are one node all along.
 
 Null and empty texts and texts without words have an empty set and are a class of their own, whose id is the document's.
@@ -35,7 +36,7 @@ from threadloom.session import cut_lineage, release
 
 WIDTH = 5
 PERCENT = 80
-GROUPS = 64
+GROUPS = 512
 FREQUENT = 200_000
 LOCAL = 8
 TILE = 512
@@ -231,7 +232,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = components(first)
     member = shared.where("members > 2").join(known.select("node", "root"), "node", "left")
     member = member.select("token", "node", "n", "members", F.coalesce("root", "node").alias("root"))
-    mixed = member.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    mixed = (
+        member.groupBy("token")
+        .agg(
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+            F.count("*").alias("count"),
+            F.bit_xor(F.xxhash64("node")).alias("x"),
+            F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        )
+        .where("low <> high")
+        .groupBy("count", "x", "y")
+        .agg(F.min("token").alias("token"))
+        .select("token")
+    )
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     spread = (
         member.join(mixed, "token")
