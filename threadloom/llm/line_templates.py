@@ -32,12 +32,14 @@ VARIABLE = "<*>"
 
 
 def tokens(line: Column) -> Column:
-    """Tokens between white space, the ones with a digit as a variable."""
-    return F.split(F.trim(F.regexp_replace(F.regexp_replace(line, r"\S*\d\S*", VARIABLE), r"\s+", " ")), " ")
+    """Tokens between spaces, the ones with a digit as a variable."""
+    return F.split(F.regexp_replace(line, r"[^ ]*\d[^ ]*", VARIABLE), " ")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, line``: the line numbers to drop of each document, keyed by ``document_key``."""
+    raw = F.split("raw", " ")
+    head = F.transform(F.slice(raw, 1, DEPTH), lambda t: F.regexp_replace(t, r"\S*\d\S*", VARIABLE))
     lines = (
         docs.select(
             document_key(id_col, text_col).alias("key"),
@@ -45,12 +47,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
             F.xxhash64(text_col).alias("content"),
             F.posexplode(F.split(text_col, "\n")).alias("line", "raw"),
         )
-        .select("key", "id", "content", "line", tokens(F.col("raw")).alias("t"))
-        .where(F.size("t") >= MIN_TOKENS)
-        .select("*", F.xxhash64(F.size("t"), F.slice("t", 1, DEPTH)).alias("leaf"))
+        .where(F.size(raw) >= MIN_TOKENS)
+        .select("*", F.xxhash64(F.size(raw), head).alias("leaf"))
     )
     reached = lines.select("leaf", "content").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    busy = cut_lineage(lines.join(reached.select("leaf"), "leaf", "left_semi").distinct())
+    busy = lines.join(reached.select("leaf"), "leaf", "left_semi").withColumn("t", tokens(F.col("raw"))).drop("raw")
+    busy = cut_lineage(busy.distinct())
     placed = busy.select("leaf", "content", "key", "line", F.posexplode("t").alias("place", "token"))
     often = (
         placed.select("leaf", "place", "token", "content")
