@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as decon
-from threadloom.llm import line_templates, near_vectors, ngram_join, sharding, stages, toxicity
+from threadloom.llm import line_templates, main_text, near_vectors, ngram_join, sharding, stages, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,3 +151,8 @@ from documents d left join sizes using (doc_id) join (select i, min(j) as compon
 def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     found = ngram_join.ngram_join(table(spark, sf, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.extract(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
