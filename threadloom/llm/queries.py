@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as decon
-from threadloom.llm import line_templates, main_text, near_vectors, ngram_join, sharding, stages, toxicity
+from threadloom.llm import byte_repeats, line_templates, main_text, near_vectors, ngram_join, sharding, stages, toxicity, word_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,3 +156,29 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_html_extraction")
 def op2_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return main_text.extract(table(spark, sf, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = byte_repeats.drop_repeats(table(spark, sf, "documents"))
+    return left.drop("kept").withColumnRenamed("id", "doc_id")
+
+
+OP10_SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g
+            from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words where len(w) >= 13)),
+firsts as (select g, min(doc_id) as first from windows group by g),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from windows join firsts using (g) where doc_id > first),
+gathered as (select doc_id, count(*) as n_removed from gone group by doc_id),
+left_over as (select doc_id, string_agg(x, ' ' order by p) as kept
+              from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from words) anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from words left join gathered using (doc_id) left join left_over using (doc_id)
+"""
+
+
+@query("op10_substring_dedup", OP10_SQL)
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = word_repeats.drop_repeats(table(spark, sf, "documents"))
+    return left.drop("kept").withColumnRenamed("id", "doc_id")
