@@ -88,18 +88,13 @@ def marks(docs: DataFrame, anchors: Anchors, levels: int, listed: Callable[[byte
     With ``earlier``, elsewhere is a document of a smaller id; otherwise any other place. ``docs`` are ``id, key, text``;
     ``listed`` gives the digests of the windows at some starts.
     """
-    rows = anchor_rows(docs, anchors).withColumn("rank", F.element_at("cores", 1))
-    for level in range(2, levels + 2):
-        often = rows.groupBy("rank").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
-        often = often.where("low < high" if earlier else "c > 1").select("rank")
-        if level == 2:
-            rows = cut_lineage(rows)
-            often = rows.groupBy("rank").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
-            often = often.where("low < high" if earlier else "c > 1").select("rank")
-        rows = rows.join(often, "rank", "left_semi")
-        if level <= levels:
+    rows = cut_lineage(anchor_rows(docs, anchors).withColumn("rank", F.element_at("cores", 1)))
+    for level in range(1, levels + 1):
+        if level > 1:
             rows = rows.withColumn("rank", F.xxhash64("rank", F.element_at("cores", level)))
-    shared = cut_lineage(rows.drop("cores"))
+        counts = rows.groupBy("rank").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
+        rows = cut_lineage(rows.join(counts.where("low < high" if earlier else "c > 1").select("rank"), "rank", "left_semi"))
+    shared = rows.drop("cores")
     kinds = shared.groupBy("rank", "whole").agg(
         F.count("*").alias("c"), F.min("id").alias("first"), F.min(F.struct("key", "lo")).alias("one")
     )
