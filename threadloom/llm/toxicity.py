@@ -100,17 +100,26 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a ridge-penalised logistic fit by Newton's method; the intercept is last and not penalised."""
+    """Weights of a ridge-penalised logistic fit by Newton's method with halved steps; the intercept is last and not penalised."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     penalty = np.eye(x.shape[1]) * ridge
     penalty[-1, -1] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ penalty @ w)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while (after := loss(w + size * step)) > now and size > 1e-6:
+            size /= 2
+        if after > now - 1e-9:
             break
+        w, now = w + size * step, after
     return w
 
 
