@@ -16,11 +16,12 @@ equal rows may swap places. An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import os
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,45 +36,49 @@ GAP = 0.0005
 RANK_BUCKETS = 128
 CACHE = 200_000
 
-_CONTEXT = re.compile(r" \s|\s ")
+# Fixed value: what a byte-level tokenizer takes as one word.
+_WORDS = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_BEYOND_LATIN = regex.compile(r"[^\x00-\u024F]")
 _loaded: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Token ids as little-endian bytes.
 
-    Spaces between two other characters always start a token, so the stretches between them are encoded on their own
-    and the last ``CACHE`` or fewer of them are remembered. Texts with longer white space are encoded as a whole.
+    No token reaches over the border of a word, so the words of a text in Latin letters are encoded on their own and the last
+    ``CACHE`` or fewer of them are remembered. Other texts, and those that spell out a special token, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _CONTEXT.search(text):
+        if _BEYOND_LATIN.search(text) or any(token in text for token in self.added):
             return self.whole([text])[0]
-        first, *rest = text.split(" ")
-        parts = list(map(self.known.get, rest))
+        words = _WORDS.findall(text)
+        parts = list(map(self.known.get, words))
         if None in parts:
-            new = list({w for w, p in zip(rest, parts, strict=True) if p is None})
-            made = dict(zip(new, self.whole([" " + w for w in new]), strict=True))
-            parts = [made[w] if p is None else p for w, p in zip(rest, parts, strict=True)]
+            new = list({w for w, p in zip(words, parts, strict=True) if p is None})
+            made = dict(zip(new, self.whole(new), strict=True))
+            parts = [made[w] if p is None else p for w, p in zip(words, parts, strict=True)]
             if len(self.known) + len(made) > CACHE:
                 self.known.clear()
             if len(made) <= CACHE:
                 self.known.update(made)
-        return self.whole([first])[0] + b"".join(parts)
+        return b"".join(parts)
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker."""
+    """One encoder a worker, without threads of its own: Spark has as many workers as cores."""
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _loaded[path] = Encoder(path)
     return _loaded[path]
 
