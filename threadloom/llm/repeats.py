@@ -88,7 +88,8 @@ def marks(docs: DataFrame, anchors: Anchors, levels: int, listed: Callable[[byte
     With ``earlier``, elsewhere is a document of a smaller id; otherwise any other place. ``docs`` are ``id, key, text``;
     ``listed`` gives the digests of the windows at some starts.
     """
-    rows = cut_lineage(anchor_rows(docs, anchors).withColumn("rank", F.element_at("cores", 1)))
+    rows = anchor_rows(docs, anchors).withColumn("rank", F.element_at("cores", 1))
+    rows = cut_lineage(rows.drop("cores") if levels == 1 else rows)
     for level in range(1, levels + 1):
         if level > 1:
             rows = rows.withColumn("rank", F.xxhash64("rank", F.element_at("cores", level)))
