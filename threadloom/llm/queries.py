@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate as decon
-from threadloom.llm import byte_repeats, line_templates, main_text, near_vectors, ngram_join, sharding, stages, toxicity, word_repeats
+from threadloom.llm import byte_repeats, collocations, line_templates, main_text, near_vectors, ngram_join, personal_data, sharding
+from threadloom.llm import stages, toxicity, word_repeats, word_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,3 +183,68 @@ from words left join gathered using (doc_id) left join left_over using (doc_id)
 def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     left = word_repeats.drop_repeats(table(spark, sf, "documents"))
     return left.drop("kept").withColumnRenamed("id", "doc_id")
+
+
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in personal_data.BASE_KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+OP12_SQL = rf"""
+with recursive pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (select lang, len(p) as size, p as words, array_to_string(p, ' ') as phrase
+          from (select lang, w[i:i + k - 1] as p
+                from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k))),
+f as (select lang, size, words, phrase, count(*) as f from grams group by all),
+n as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+c as (select lang, size, words, phrase, f as a from f where size >= 2 and f >= 30),
+cuts as (select lang, size, words, phrase, a, unnest(range(1, size)) as k from c),
+scored as (select cuts.*, x.f as l, y.f as r, (2000000::hugeint * a) // (x.f + y.f) as score
+           from cuts join f x on x.lang = cuts.lang and x.phrase = array_to_string(cuts.words[1:k], ' ')
+                     join f y on y.lang = cuts.lang and y.phrase = array_to_string(cuts.words[k + 1:], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (select lang, a as longer, unnest(list_distinct([array_to_string(words[s:s + m - 1], ' ') for m in [2, 3] for s in [1, 2, 3]
+                                                           if m < size and s + m - 1 <= size])) as phrase from c),
+covered as (select lang, phrase, max(longer) as longest from inner_ group by all),
+ranked as (select best.*, row_number() over (partition by best.lang order by score desc, a desc, best.phrase) as rank
+           from best left join covered on covered.lang = best.lang and covered.phrase = best.phrase
+           where longest is null or 100::hugeint * longest < 80::hugeint * a)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from ranked join n using (lang) where rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = word_runs.periodic_runs(table(spark, sf, "documents"), planted=True)
+    # Greatest length, then smallest start, then smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("from_end"), (-r["period"]).alias("shortness"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.from_end")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.shortness")).alias("period"),
+        F.expr("1000 * best.length div -best.shortness").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
