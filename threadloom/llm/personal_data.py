@@ -170,7 +170,7 @@ ADDED = [
           _words("iban", "account", "bank", "konto", "compte", "cuenta", "banque", "banco")),
     Added("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn, 0.4, 0.0,
           _words("ssn", "social security", "social sec", "sozialversicherung")),
-    Added("ipv6", ":", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])"), _ipv6, 0.3, 0.4,
+    Added("ipv6", ":", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])"), _ipv6, 0.3, 0.4,
           _words("ip", "ipv6", "address", "host", "adresse")),
     Added("other_card", "3", re.compile(r"(?<![0-9-])3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}(?![0-9-])"), _short_card, 0.1, 0.4,
           _words("card", "credit", "amex", "visa", "payment", "karte", "kreditkarte", "carte", "tarjeta")),

@@ -204,11 +204,15 @@ OP12_SQL = rf"""
 with recursive pieces as (
   select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece
   from documents),
-w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
-grams as (select lang, len(p) as size, p as words, array_to_string(p, ' ') as phrase
-          from (select lang, w[i:i + k - 1] as p
-                from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k))),
-f as (select lang, size, words, phrase, count(*) as f from grams group by all),
+w as (select lang, p, unnest(w) as x, generate_subscripts(w, 1) as i
+      from (select lang, row_number() over () as p, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces)),
+leads as (select lang, x as w1, lead(x) over t as w2, lead(x, 2) over t as w3, lead(x, 3) over t as w4 from w window t as (partition by p order by i)),
+grams as (select lang, 1 as size, w1, null::varchar as w2, null::varchar as w3, null::varchar as w4, count(*) as f from leads group by all
+          union all select lang, 2, w1, w2, null, null, count(*) from leads where w2 is not null group by all
+          union all select lang, 3, w1, w2, w3, null, count(*) from leads where w3 is not null group by all
+          union all select lang, 4, w1, w2, w3, w4, count(*) from leads where w4 is not null group by all),
+f as (select lang, size, list_filter([w1, w2, w3, w4], lambda w: w is not null) as words, concat_ws(' ', w1, w2, w3, w4) as phrase, f
+      from grams where f >= 30 or size = 1),
 n as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
 c as (select lang, size, words, phrase, f as a from f where size >= 2 and f >= 30),
 cuts as (select lang, size, words, phrase, a, unnest(range(1, size)) as k from c),
@@ -216,8 +220,8 @@ scored as (select cuts.*, x.f as l, y.f as r, (2000000::hugeint * a) // (x.f + y
            from cuts join f x on x.lang = cuts.lang and x.phrase = array_to_string(cuts.words[1:k], ' ')
                      join f y on y.lang = cuts.lang and y.phrase = array_to_string(cuts.words[k + 1:], ' ')),
 best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
-inner_ as (select lang, a as longer, unnest(list_distinct([array_to_string(words[s:s + m - 1], ' ') for m in [2, 3] for s in [1, 2, 3]
-                                                           if m < size and s + m - 1 <= size])) as phrase from c),
+parts as (select lang, a as longer, unnest([[1, 2], [2, 3], [3, 4], [1, 3], [2, 4]]) as p, size, words from c where size > 2),
+inner_ as (select lang, longer, array_to_string(words[p[1]:p[2]], ' ') as phrase from parts where p[2] <= size and p[2] - p[1] + 1 < size),
 covered as (select lang, phrase, max(longer) as longest from inner_ group by all),
 ranked as (select best.*, row_number() over (partition by best.lang order by score desc, a desc, best.phrase) as rank
            from best left join covered on covered.lang = best.lang and covered.phrase = best.phrase
