@@ -157,11 +157,11 @@ def test_collocations_by_hand(spark, least, top):
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == phrases_by_hand(rows, least, top)
 
 
-def test_collocations_do_not_depend_on_the_table_of_pairs(spark, monkeypatch):
+def test_collocations_do_not_depend_on_the_tables(spark, monkeypatch):
     """A table of one block, full of marks, only cuts fewer windows."""
     docs = spark.createDataFrame([(i, f"red fox runs. {i} red fox {i % 3}", None, "x", 1, 2, 3) for i in range(50)], SCHEMA)
     want = sorted(map(tuple, collocations.collocations(docs, 3).collect()))
-    monkeypatch.setattr(collocations, "frequent_pairs", lambda *_: (np.full(4096, 255, np.uint8), 1 << 15))
+    monkeypatch.setattr(collocations, "frequent", lambda *_: collocations.Table(np.full(4096, 255, np.uint8), 1 << 15))
     assert sorted(map(tuple, collocations.collocations(docs, 3).collect())) == want != []
 
 

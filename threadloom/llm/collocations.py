@@ -5,9 +5,10 @@ of its piece, padded with nulls. Only these longest windows are counted; ``ROLLU
 shorter prefix, down to the number of words per language. No other order is ever exploded.
 
 Windows are cut short before they are counted, by a rule that loses no count that matters: a phrase that occurs
-``min_count`` times holds no pair of neighbours that occurs less often. Pairs are counted by their 64-bit hash, where a
-collision can only keep too much; those that reach ``min_count`` are marked in a bit table of at most ``TABLE_BITS`` bits,
-which is all that the tasks get. A table that fills up cuts fewer windows and changes no result.
+``min_count`` times holds no pair and no triple of neighbours that occurs less often. Pairs are counted by their 64-bit
+hash, then those triples whose pairs are both frequent; a collision can only keep too much. What reaches ``min_count`` is
+marked in a bit table of at most ``TABLE_BITS`` bits per order, which is all that the tasks get. A table that fills up cuts
+fewer windows and changes no result.
 
 A null or empty text has no words. A null language is ``und``. Repeated rows count as often as they are there; the ids of
 documents play no part. Ties in rank go by ``a``, then by the phrase in byte order. Only the language and the text are
@@ -32,6 +33,7 @@ MIN_COUNT = 30
 TOP = 2000
 COVERED = 80  # per cent of a phrase's occurrences that lie inside one longer candidate
 TABLE_BITS = 1 << 27
+BLOCK = 1 << 15  # bits in one bitmap of Spark
 CHUNK = 400_000  # words that one step in a task holds
 SALTS = 16
 
@@ -43,6 +45,17 @@ _TABLE = _MAP.tobytes()
 _BREAK = b"\xff"
 
 
+class Table:
+    """Bits that mark hashes."""
+
+    def __init__(self, blocks: np.ndarray, bits: int) -> None:
+        self.blocks, self.bits = blocks, bits
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = (hashes & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.blocks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
 class Words:
     """Words of some documents as numbers: 0 ends a piece, another number is the place of the word's first occurrence."""
 
@@ -69,17 +82,31 @@ class Words:
         names, starts = zip(*self.spans, strict=True)
         return [names[i] for i in (np.searchsorted(np.array(starts), ids, "right") - 1).tolist()]
 
-    def pair_hashes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places with a word and its successor in the piece, and a hash of language and both words for each."""
-        at = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
+    def marks(self, tables: list[Table]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """For each table whether the words from each place on may be frequent, 2 words for the first table, 3 for the next.
+
+        Also the places and hashes of the order after that, where all that is shorter may be frequent.
+        """
+        ids = self.ids()
+        ok = ids != 0
         hashes = np.zeros(len(self.words), np.uint64)
-        distinct = np.unique(ids[ids != 0])
+        distinct = np.unique(ids[ok])
         hashes[distinct] = np.fromiter((xxhash.xxh3_64_intdigest(self.words[i]) for i in distinct.tolist()), np.uint64, len(distinct))
-        salts = np.array([xxhash.xxh3_64_intdigest(lang.encode()) for lang, _ in self.spans], np.uint64)
-        tongue = np.repeat(salts, [len(x) for x in self.lists])
-        mixed = hashes[ids[at]] * np.uint64(0x9E3779B97F4A7C15) + hashes[ids[at + 1]] + tongue[at]
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return at, mixed ^ (mixed >> np.uint64(29))
+        word = hashes[ids]
+        tongues = np.array([xxhash.xxh3_64_intdigest(lang.encode()) for lang, _ in self.spans], np.uint64)
+        phrase = word.copy()
+        phrase[:-WIDEST] += np.repeat(tongues, [len(x) for x in self.lists])
+        found = []
+        for order in range(2, len(tables) + 3):
+            at = np.flatnonzero(ok[:-1] & ok[1:])
+            mixed = phrase[at] * np.uint64(0x9E3779B97F4A7C15) + word[at + order - 1]
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            phrase[at] = mixed ^ (mixed >> np.uint64(29))
+            if order - 2 < len(tables):
+                ok = np.zeros(len(ids), bool)
+                ok[at[tables[order - 2].holds(phrase[at])]] = True
+                found.append(ok)
+        return found, at, phrase[at]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[Words]:
@@ -94,51 +121,46 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[Words]:
         yield words
 
 
-def frequent_pairs(docs: DataFrame, min_count: int) -> tuple[np.ndarray, int]:
-    """Packed bit table over pair hashes, and the number of its bits: a power of two, ``TABLE_BITS`` at most."""
+def frequent(docs: DataFrame, min_count: int, tables: list[Table]) -> Table:
+    """Table of the next order: hashes that occur ``min_count`` times. Its bits are a power of two, ``TABLE_BITS`` at most."""
 
     def work(batch: pa.RecordBatch):
         for words in _chunks(batch):
-            _, hashes = words.pair_hashes(words.ids())
-            keys, counts = np.unique(hashes, return_counts=True)
-            yield record(["pair", "n"], [pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))])
+            keys, counts = np.unique(words.marks(tables)[2], return_counts=True)
+            yield record(["hash", "n"], [pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))])
 
-    often = map_batches(docs, work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    often = cut_lineage(often.select("pair"))
-    bits = 1 << 15
+    often = map_batches(docs, work, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    often = cut_lineage(often.select("hash"))
+    bits = BLOCK
     wanted = min(TABLE_BITS, 16 * often.count())
     while bits < wanted:
         bits *= 2
-    at = F.col("pair").bitwiseAND(F.lit(bits - 1)) + 1
-    blocks = often.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
-    table = np.zeros(bits // 8, np.uint8)
-    size = (1 << 15) // 8
-    for row in blocks.toLocalIterator():  # bits / 32768 rows at most
-        table[(row.block - 1) * size : row.block * size] = np.frombuffer(bytes(row.bitmap), np.uint8)
+    at = F.col("hash").bitwiseAND(F.lit(bits - 1)) + 1
+    marked = often.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    blocks = np.zeros(bits // 8, np.uint8)
+    for row in marked.toLocalIterator():  # bits / BLOCK rows at most
+        blocks[(row.block - 1) * BLOCK // 8 : row.block * BLOCK // 8] = np.frombuffer(bytes(row.bitmap), np.uint8)
     release(often)
-    return table, bits
+    return Table(blocks, bits)
 
 
-def windows(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
-    """``lang, w1, .., n``: windows padded with nulls, cut before a pair that the table does not have, counted per chunk."""
+def windows(docs: DataFrame, tables: list[Table]) -> DataFrame:
+    """``lang, w1, .., n``: windows padded with nulls, cut before what the tables of 2 and 3 words do not have, counted per chunk."""
     names = [f"w{k + 1}" for k in range(WIDEST)]
 
     def cut(words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of every distinct window, 0 as padding, and how often it is there."""
         ids = words.ids()
-        at, hashes = words.pair_hashes(ids)
-        place = (hashes & np.uint64(bits - 1)).astype(np.int64)
-        good = np.zeros(len(ids), bool)  # the pair that begins here may be frequent
-        good[at[(table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]] = True
+        pairs, triples = words.marks(tables)[0]
         start = np.flatnonzero(ids != 0)
-        alone = start[~good[start]]
+        alone = start[~pairs[start]]
         found, counts = np.unique(ids[alone], return_counts=True)
         singles = np.zeros((len(found), WIDEST), np.int64)
         singles[:, 0] = found
-        start = start[good[start]]
-        columns, ok = [ids[start]], np.ones(len(start), bool)
-        for k in range(1, WIDEST):
-            ok = ok & good[start + k - 1]
+        start = start[pairs[start]]
+        columns, ok = [ids[start], ids[start + 1]], np.ones(len(start), bool)
+        for k in range(2, WIDEST):
+            ok = ok & triples[start + k - 2]
             columns.append(np.where(ok, ids[start + k], 0))
         key = np.zeros(len(start), np.int64)
         for values in columns:  # dense after each step, so two of them fit into 64 bits
@@ -166,9 +188,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
     The row of a language itself, with no words, holds its number of words whatever that is.
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    table, bits = frequent_pairs(rows, min_count)
+    tables: list[Table] = []
+    for _ in range(2, WIDEST):
+        tables.append(frequent(rows, min_count, tables))
     names = [f"w{k + 1}" for k in range(WIDEST)]
-    summed = windows(rows, table, bits).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    summed = windows(rows, tables).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # The level has a bit for each column that is summed over; what is left as null is padding.
     size = sum((F.col("level").bitwiseAND(F.lit(1 << k)) == 0).cast("int") for k in range(WIDEST))
     words = F.slice(F.array(*names), F.lit(1), size)
