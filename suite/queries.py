@@ -800,9 +800,11 @@ def compression_stats(spark: Spark, sf: str) -> DataFrame:
     return stats.withColumn("savings_percent", F.round("savings_percent", 6))
 
 
-@query("compress_context", _rank_sql("select request_id, prompt from prompts"))
+@query("compress_context", _rank_sql("select * from prompts"))
 def compress_context(spark: Spark, sf: str) -> DataFrame:
-    return compress.assemble(compress.pack_by_file(_rendered(spark, sf))).select("request_id", "prompt")
+    """Prompts in pieces; in the order of stage, file and piece they are the text."""
+    ranked, symbols = _ranked(spark, sf)
+    return compress.assemble(compress.pack_by_file(compress.render(ranked, symbols)), ranked)
 
 
 @query(
@@ -836,7 +838,7 @@ def optimize(spark: Spark, sf: str) -> requests.Optimized:
 @query(
     "optimize_context",
     _rank_sql(
-        """select request_id, prompt as compressed_prompt, raw_tokens, optimized_tokens,
+        """select request_id, stage, file_path, piece, prompt as compressed_prompt, raw_tokens, optimized_tokens,
           round(token_savings, 6) as token_savings, included_count
         from prompts join tokens using (request_id)"""
     ),
@@ -844,6 +846,9 @@ def optimize(spark: Spark, sf: str) -> requests.Optimized:
 def optimize_context(spark: Spark, sf: str) -> DataFrame:
     return requests.optimized_prompts(optimize(spark, sf)).select(
         "request_id",
+        "stage",
+        "file_path",
+        "piece",
         F.col("prompt").alias("compressed_prompt"),
         "raw_tokens",
         "optimized_tokens",
@@ -852,22 +857,25 @@ def optimize_context(spark: Spark, sf: str) -> DataFrame:
     )
 
 
-_PROMPT_MASK, _PROMPT_LAST = P.mask_steps("prompts", "prompt")
+_PROMPT_MASK, _PROMPT_LAST = P.mask_steps("whole", "prompt")
 
 
 @query(
     "prompt_pack",
     with_views(
         _REQUEST_VIEWS,
-        f"""select request_id, now || chr(10) || chr(10) || 'User Question:' || chr(10) || query as prompt,
-          n as items_masked from {_PROMPT_LAST} join v_requests using (request_id)""",
+        f"""select request_id, p.stage, p.file_path, p.piece, prompt,
+          case when p.stage = 0 then n else 0 end as items_masked
+        from (select request_id, unnest(pieces) as p, unnest(string_split(now, {P.PIECE_MARK})) as prompt, n from {_PROMPT_LAST})
+        union all select request_id, 2, '', 0, chr(10) || chr(10) || 'User Question:' || chr(10) || query, 0
+        from v_requests where request_id in (select request_id from prompts)""",
         {**P.COMPRESS_STEPS, **_PROMPT_MASK},
         recursive=True,
     ),
 )
 def prompt_pack(spark: Spark, sf: str) -> DataFrame:
-    prompts = optimize(spark, sf).prompts
-    return requests.final_prompts(prompts, V.v_requests(spark, sf)).select("request_id", "prompt", "items_masked")
+    """Every prompt masked as one text over its pieces, and the question as the last piece."""
+    return requests.final_prompts(cut_lineage(optimize(spark, sf).prompts), V.v_requests(spark, sf))
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from suite.views_sql import fields, text, trim_space
-from threadloom.functions.masking import (
+from threadloom.functions.secrets import (
     PATTERNS,
     RULES,
     SECRET_ENTROPY,
@@ -96,6 +96,7 @@ def mask_steps(source: str, column: str, rules: list[str] | None = None) -> tupl
     return steps, last
 
 
+PIECE_MARK = "chr(57344)"
 LOWER_WORDS = fields("lower(query)")
 
 # Files that see each other, edges by text and by call.
@@ -186,8 +187,13 @@ COMPRESS_STEPS = {
         || case when piece = max(piece) over w then '```' || chr(10) || chr(10) else '' end as text
       from sections window w as (partition by request_id, file_path)""",
     "prompts": f"""
-      select request_id, {text(preamble())} || string_agg(text, '' order by file_path, piece) as prompt
-      from framed group by request_id""",
+      select distinct request_id, 0 as stage, '' as file_path, 0 as piece, {text(preamble())} as prompt from framed
+      union all select request_id, 1, file_path, piece, text from framed""",
+    # One text per request, with a mark between the pieces that no pattern takes.
+    "whole": f"""
+      select request_id, string_agg(prompt, {PIECE_MARK} order by stage, file_path, piece) as prompt,
+        list(struct_pack(stage, file_path, piece) order by stage, file_path, piece) as pieces
+      from prompts group by request_id""",
     "stats": f"""
       select *, {savings_percent("raw_bytes", "optimized_bytes")} as savings_percent from (
         select request_id, sum(raw_bytes)::bigint as raw_bytes, sum(strlen(text))::bigint as optimized_bytes,

@@ -1,144 +1,48 @@
-"""Masking of secrets and personal data in text columns.
+"""Masking of secrets and personal data in text columns, whole or in pieces.
 
-The rules run one after another, specific ones first, so that a result never depends on chance.
+The rules run one after another, specific ones first, so that a result never depends on chance. Finding and hiding in one
+text is in ``secrets``; here Arrow batches of texts go through it, and texts in several rows are masked as one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.let import let
-from threadloom.functions.text import entropy
-from threadloom.session import cut_lineage
-
-# ASCII word boundary: Java's own one also looks at accented letters.
-_EDGE = (
-    r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+from threadloom.functions.secrets import (
+    RULE_NAMES,
+    RULES,
+    Rule,
+    first_cut,
+    mask_text,
+    replace_values,
+    uri_passwords,
+    values_of,
 )
+from threadloom.session import cut_lineage, release
 
-# The patterns, with \b for an ASCII word boundary.
-PATTERNS = {
-    "DB_URI": r"\b[a-zA-Z]+://[^:]+:([^@\s]+)@(?:[a-zA-Z0-9.-]+)(?::[0-9]+)?/[^\s]*\b",
-    "GENERIC_SECRET": (
-        r"(?i)\b(?:api[_-]?key|secret|password|passwd|token|credential|auth|private[_-]?key)\b"
-        r"\s*[:=]\s*['\"]([a-zA-Z0-9-_=]{16,128})['\"]"
-    ),
-    "JWT_TOKEN": r"\beyJ[A-Za-z0-9-_=]+\.eyJ[A-Za-z0-9-_=]+\.?[A-Za-z0-9-_.+/=]*\b",
-    "SLACK_WEBHOOK": r"https://hooks\.slack\.com/services/[T\[A-Z0-9]+/B[A-Z0-9]+/[A-Za-z0-9]+",
-    "AWS_KEY": r"\bAKIA[0-9A-Z]{16}\b",
-    "EMAIL": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
-    "IPV4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
-}
-SECRET_ENTROPY = 3.8
-SWEEP_ENTROPY = 3.2
-SWEEP_MIN_BYTES = 32
-SWEEP_MAX_BYTES = 128
-SWEEP_TRIM = "'\"(),;{}[]"
-
-# A text without a match of this cannot match the rule either; spares the costly pattern on most rows.
-_HINTS = {
-    "DB_URI": "://",
-    "GENERIC_SECRET": r"[:=]\s*['\"]",
-    "JWT_TOKEN": "eyJ",
-    "SLACK_WEBHOOK": r"hooks\.slack\.com",
-    "AWS_KEY": "AKIA",
-    "EMAIL": "@",
-    "IPV4": r"[0-9]\.[0-9]",
-}
-
-
-def _find(text: Column, rule: str, group: int = 0) -> Column:
-    pattern = PATTERNS[rule].replace(r"\b", _EDGE)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.when(text.rlike(_HINTS[rule]), found).otherwise(F.array().cast("array<string>"))
-
-
-def _replace_each(text: Column, values: Column, placeholder: str) -> Column:
-    """Replace every value wherever it stands, one value after another."""
-    return F.aggregate(values, text, lambda acc, v: F.replace(acc, v, F.lit(placeholder)))
-
-
-@dataclass(frozen=True)
-class Rule:
-    """One masking step: which values to hide, under what name, and how they are counted."""
-
-    name: str
-    placeholder: str
-    values: Callable[[Column, Column], Column]  # (current text, original text) -> array<string>
-    per_label: bool  # count the label once, not every value
-
-
-def _label_rule(name: str) -> Rule:
-    return Rule(name, f"[{name}]", lambda text, _: _find(text, name), True)
-
-
-def sweep_values(text: Column) -> Column:
-    """Long random-looking words, without surrounding quotes and brackets."""
-    # A word of that many bytes has at least a quarter as many characters.
-    long = F.regexp_extract_all(text, F.lit(rf"(?U)\S{{{SWEEP_MIN_BYTES // 4},}}"), F.lit(0))
-    bare = F.transform(
-        F.filter(long, lambda w: F.octet_length(w) >= SWEEP_MIN_BYTES),
-        lambda w: F.btrim(w, F.lit(SWEEP_TRIM)),
-    )
-    return F.filter(
-        bare,
-        lambda w: F.octet_length(w).between(SWEEP_MIN_BYTES, SWEEP_MAX_BYTES)
-        & ~w.contains("MASKED")
-        & (entropy(w) > SWEEP_ENTROPY),
-    )
+VALUES_PER_ROW = 20_000
 
+_MASKED = pa.struct([("text", pa.string()), ("counts", pa.list_(pa.int32()))])
+_CUT = pa.struct([("first", pa.int32()), ("at_end", pa.bool_())])
+_OPEN = pa.struct([("closed", pa.bool_()), ("open", pa.bool_())])
 
-RULES = [
-    Rule("DB_URI", "[MASKED_PASSWORD]", lambda t, _: _find(t, "DB_URI", 1), False),
-    Rule(
-        "GENERIC_SECRET",
-        "[MASKED_SECRET]",
-        lambda t, _: F.filter(
-            _find(t, "GENERIC_SECRET", 1), lambda v: entropy(v) > SECRET_ENTROPY
-        ),
-        False,
-    ),
-    _label_rule("JWT_TOKEN"),
-    _label_rule("SLACK_WEBHOOK"),
-    _label_rule("AWS_KEY"),
-    _label_rule("EMAIL"),
-    _label_rule("IPV4"),
-    Rule("HIGH_ENTROPY", "[MASKED_HIGH_ENTROPY_KEY]", lambda _, original: sweep_values(original), False),
-]
-RULE_NAMES = [r.name for r in RULES]
-
-
-def _masked(text: Column, rules: list[Rule]) -> Column:
-    """struct<text, counts>: the masked text and the number of items per rule.
-
-    Each step binds its input and its values once, so the expression grows by one step per rule and
-    stays of that size when the optimizer moves it into a filter.
-    """
 
-    def step(state: Column, rule: Rule) -> Column:
-        def apply(now: Column) -> Column:
-            def replaced(values: Column) -> Column:
-                hits = F.size(values)
-                if rule.per_label:
-                    seen = now["text"].contains(rule.placeholder)
-                    hits = F.when((hits > 0) & ~seen, 1).otherwise(0)
-                return F.struct(
-                    _replace_each(now["text"], values, rule.placeholder).alias("text"),
-                    F.concat(now["counts"], F.array(hits)).alias("counts"),
-                )
+def _masked(text: Column, names: list[str]) -> Column:
+    """struct<text, counts>: the masked text and the number of items per rule; a null text stays null, without items."""
 
-            return let(rule.values(now["text"], text), replaced)
+    def run(texts: pa.Array) -> pa.Array:
+        rules = [r for r in RULES if r.name in names]
+        out = []
+        for value in texts.to_pylist():
+            masked, counts = mask_text(value, rules) if value is not None else (None, [0] * len(rules))
+            out.append({"text": masked, "counts": counts})
+        return pa.array(out, _MASKED)
 
-        return let(state, apply)
-
-    state = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
-    for rule in rules:
-        state = step(state, rule)
-    return state
+    # Not to be run a second time where the optimizer would copy it into a filter.
+    return F.arrow_udf(run, "text string, counts array<int>").asNondeterministic()(text)
 
 
 def mask(
@@ -152,10 +56,10 @@ def mask(
 
     Label rules count once per label, the others once per value found.
     """
-    chosen = [r for r in RULES if rules is None or r.name in rules]
+    names = RULE_NAMES if rules is None else rules
     total = F.aggregate(F.col("_masked.counts"), F.lit(0), lambda acc, n: acc + n)
     return (
-        df.withColumn("_masked", _masked(F.col(text), chosen))
+        df.withColumn("_masked", _masked(F.col(text), names))
         .withColumns({into: F.col("_masked.text"), count: total})
         .drop("_masked")
     )
@@ -163,49 +67,138 @@ def mask(
 
 def mask_counts(df: DataFrame, text: str) -> DataFrame:
     """Number of masked items per rule, each as the full chain counts it."""
-    counts = {
-        f"n_{rule.name.lower()}": F.element_at("_masked.counts", i + 1) for i, rule in enumerate(RULES)
-    }
-    return df.withColumn("_masked", _masked(F.col(text), RULES)).withColumns(counts).drop("_masked")
+    counts = {f"n_{name.lower()}": F.element_at("_masked.counts", i + 1) for i, name in enumerate(RULE_NAMES)}
+    return df.withColumn("_masked", _masked(F.col(text), RULE_NAMES)).withColumns(counts).drop("_masked")
+
+
+# ---------------------------------------------------------------- texts in pieces
+
+
+def _cut(texts: pa.Array) -> pa.Array:
+    return pa.array([dict(zip(("first", "at_end"), first_cut(t), strict=True)) for t in texts.to_pylist()], _CUT)
+
+
+def _open_ends(texts: pa.Array) -> pa.Array:
+    ends = [{"closed": uri_passwords(t)[1], "open": uri_passwords(t, True)[1]} for t in texts.to_pylist()]
+    return pa.array(ends, _OPEN)
+
+
+def recut(df: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
+    """The pieces with borders where no value can cross them; read in ``order`` they are the same text.
+
+    What stands before the first such place of a piece moves to the end of an earlier one, so a word that crosses a border
+    ends up whole in the piece that it begins in, however many pieces it goes through. Every piece keeps its row. Only the
+    places are sorted per group; of the texts, only what moves is gathered.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    places = cut_lineage(df.select(group, *order, F.arrow_udf(_cut, "first int, at_end boolean").asNondeterministic()(whole).alias("_cut")))
+    by = W.partitionBy(group).orderBy(*order)
+    key = F.struct(*order)
+    start = F.when(F.coalesce(F.lag("_cut.at_end").over(by), F.lit(True)), 0).when(F.col("_cut.first") >= 0, F.col("_cut.first"))
+    homes = places.select(group, *order, start.alias("_start"))
+    homes = homes.withColumn("_home", F.last(F.when(F.col("_start").isNotNull(), key), True).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    homes = cut_lineage(homes)
+    release(places)
+    pieces = df.withColumn(text, whole)
+    if homes.where("_start is null or _start > 0").isEmpty():
+        return pieces
+    cut = pieces.join(homes, [group, *order])
+    length = F.coalesce(F.col("_start"), F.char_length(text))
+    moved = cut.where(length > 0).select(group, "_home", key.alias("_from"), F.substring(F.col(text), F.lit(1), length).alias("_head"))
+    tails = moved.groupBy(group, "_home").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_from", "_head")))["_head"], "").alias("_tail"))
+    rest = F.substring(F.col(text), length + 1, F.char_length(text))
+    return (
+        cut.withColumn("_home", key)
+        .join(tails, [group, "_home"], "left")
+        .withColumn(text, F.concat(rest, F.coalesce("_tail", F.lit(""))))
+        .select(*df.columns)
+    )
+
+
+def _inside(pieces: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
+    """``group, order, _inside``: whether a piece begins behind the scheme of a connection string without its colon yet.
+
+    Each piece maps the state before it to the state behind it. Of these maps some are constant; the others keep or turn
+    the state, so the last constant and the number of turns since then give it.
+    """
+    by = W.partitionBy(group).orderBy(*order)
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    ends = pieces.select(group, *order, F.arrow_udf(_open_ends, "closed boolean, open boolean").asNondeterministic()(F.col(text)).alias("_end"))
+    turns = F.col("_end.closed") & ~F.col("_end.open")
+    counted = cut_lineage(ends).withColumn("_turns", F.sum(turns.cast("int")).over(by))
+    fixed = F.when(F.col("_end.closed") == F.col("_end.open"), F.struct(F.col("_end.closed").alias("state"), F.col("_turns").alias("turns")))
+    marked = counted.withColumns({"_fixed": F.last(fixed, True).over(before), "_sum": F.coalesce(F.max("_turns").over(before), F.lit(0))})
+    since = (F.col("_sum") - F.coalesce(F.col("_fixed.turns"), F.lit(0))) % 2 == 1
+    return marked.select(group, *order, (F.coalesce(F.col("_fixed.state"), F.lit(False)) != since).alias("_inside"))
+
+
+def _find(rule: Rule) -> Column:
+    name = rule.name
+
+    def run(now: pa.Array, original: pa.Array, inside: pa.Array) -> pa.Array:
+        rule = RULES[RULE_NAMES.index(name)]
+        rows = zip(now.to_pylist(), original.to_pylist(), inside.to_pylist(), strict=True)
+        return pa.array([values_of(rule, *row) for row in rows], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>").asNondeterministic()("_now", "_original", "_inside")
+
+
+def _replace(placeholder: str) -> Column:
+    def run(now: pa.Array, values: pa.Array) -> pa.Array:
+        rows = zip(now.to_pylist(), values.to_pylist(), strict=True)
+        return pa.array([replace_values(t, v, placeholder) if v else t for t, v in rows], pa.string())
+
+    return F.arrow_udf(run, "string").asNondeterministic()("_now", "_values")
 
 
 def mask_parts(df: DataFrame, group: str, order: list[str], text: str, into: str, count: str) -> DataFrame:
     """Mask texts that come in several rows per ``group``, read in ``order``, as one text each.
 
-    A value found in any row of a group is hidden in all of them, in order of first appearance, and
-    placeholders are looked for in the whole group. The number of items stands on the first row. One
-    round per rule; only the values found travel, the texts stay where they are.
+    The masked pieces in order are the masked text, wherever the borders are; a value that crosses one stands, masked, in
+    the piece that it begins in. ``order`` tells the rows of a group apart. A null piece counts as empty.
+
+    One round per rule that finds something. A value found in any row of a group is hidden in all of them, in order of first
+    appearance; values travel in rows of at most ``VALUES_PER_ROW``, the texts stay in theirs. The number of items of a
+    group stands on its first row.
     """
-    out = df.withColumns({into: F.col(text), "_n": F.lit(0).cast("bigint")})
+    pieces = recut(df, group, order, text)
+    state = pieces.join(_inside(pieces, group, order, text), [group, *order])
+    out = cut_lineage(state.withColumns({"_original": F.col(text), "_now": F.col(text)}))
+    counts = []
+
+    def next_state(after: DataFrame) -> None:
+        nonlocal out
+        before, out = out, cut_lineage(after)
+        release(before)
+
     for rule in RULES:
-        out = cut_lineage(out)
-        found = out.select(
-            group, *order, F.posexplode(rule.values(F.col(into), F.col(text))).alias("_at", "_value")
-        )
-        values = (
-            found.groupBy(group, "_value")
-            .agg(F.min(F.struct(*order, "_at")).alias("_first"), F.count("*").alias("_times"))
-            .groupBy(group)
-            .agg(
-                F.array_sort(F.collect_list(F.struct("_first", "_value"))).alias("_values"),
-                F.sum("_times").alias("_times"),
-            )
-        )
-        hits = F.col("_times")
+        found = out.select(group, *order, F.posexplode(_find(rule)).alias("_at", "_value"))
+        first = F.min(F.struct(*order, "_at")).alias("_first")
+        values = cut_lineage(found.groupBy(group, "_value").agg(first, F.count("*").alias("_times")))
+        if values.isEmpty():
+            release(values)
+            continue
+        hits = values.groupBy(group).agg(F.sum("_times").alias("_hits"))
         if rule.per_label:
-            seen = out.where(F.col(into).contains(rule.placeholder)).select(group).distinct()
-            values = values.join(seen.withColumn("_seen", F.lit(True)), group, "left")
-            hits = F.when(F.col("_seen"), 0).otherwise(1)
-        values = cut_lineage(values.select(group, F.col("_values._value").alias("_values"), hits.alias("_hits")))
-        hidden = _replace_each(F.col(into), F.col("_values"), rule.placeholder)
-        out = out.join(values, group, "left").select(
-            *df.columns,
-            F.when(F.col("_values").isNull(), F.col(into)).otherwise(hidden).alias(into),
-            (F.col("_n") + F.coalesce("_hits", F.lit(0))).alias("_n"),
-        )
-    out = cut_lineage(out)
-    first = out.groupBy(group).agg(F.min(F.struct(*order)).alias("_first"))
-    is_first = F.struct(*order) == F.col("_first")
-    return out.join(first, group).withColumn(count, F.when(is_first, F.col("_n")).otherwise(0).cast("int")).select(
-        *df.columns, into, count
-    )
+            seen = out.where(F.col("_now").contains(rule.placeholder)).select(group).distinct()
+            hits = hits.join(seen, group, "left_anti").withColumn("_hits", F.lit(1).cast("long"))
+        counts.append(cut_lineage(hits))
+        rank = F.row_number().over(W.partitionBy(group).orderBy("_first")) - 1
+        ranked = values.select(group, rank.alias("_rank"), "_value").withColumn("_row", F.floor(F.col("_rank") / VALUES_PER_ROW).cast("int"))
+        listed = F.array_sort(F.collect_list(F.struct("_rank", "_value")))["_value"]
+        lists = cut_lineage(ranked.groupBy(group, "_row").agg(listed.alias("_values")))
+        release(values)
+        for row in range(lists.agg(F.max("_row")).first()[0] + 1):
+            some = lists.where(F.col("_row") == row).drop("_row")
+            next_state(out.join(some, group, "left").withColumn("_now", _replace(rule.placeholder)).drop("_values"))
+        release(lists)
+    done = out.withColumn(into, F.col("_now")).select(*df.columns, into)
+    if not counts:
+        return done.withColumn(count, F.lit(0))
+    hits = counts[0]
+    for more in counts[1:]:
+        hits = hits.unionByName(more)
+    total = hits.groupBy(group).agg(F.sum("_hits").cast("int").alias("_hits"))
+    first = out.groupBy(group).agg(F.min(F.struct(*order)).alias("_first")).join(total, group, "left")
+    number = F.when(F.struct(*order) == F.col("_first"), F.coalesce("_hits", F.lit(0))).otherwise(0)
+    return done.join(first, group).withColumn(count, number).select(*df.columns, into, count)

@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from threadloom.functions.hashing import ccr_key
 from threadloom.functions.paths import fence
 from threadloom.functions.text import clean_lines, savings_percent, skeleton, token_estimate
-from threadloom.session import cut_lineage
 
 FULL_SCORE = 0.8
 LINES_PER_PIECE = 2000
-MAX_PROMPT_BYTES = 64 * 1024 * 1024
 RETRIEVE_TOOL = "context_retrieve"
-WHOLE_STAGE, SECTION_STAGE, QUESTION_STAGE = 0, 1, 2
+PREAMBLE_STAGE, SECTION_STAGE, QUESTION_STAGE = 0, 1, 2
 
 
 def preamble(tool: str = RETRIEVE_TOOL) -> str:
@@ -117,41 +115,27 @@ def pack_by_file(rendered: DataFrame) -> DataFrame:
     )
 
 
-def assemble(
-    sections: DataFrame, max_bytes: int = MAX_PROMPT_BYTES, tool: str = RETRIEVE_TOOL
-) -> DataFrame:
-    """Prompts: (request_id, stage, file_path, piece, prompt).
+def assemble(sections: DataFrame, requests: DataFrame | None = None, tool: str = RETRIEVE_TOOL) -> DataFrame:
+    """Prompts in pieces: (request_id, stage, file_path, piece, prompt).
 
-    A prompt of at most ``max_bytes`` is one row at stage 0. A bigger one stays in rows: the preamble at
-    stage 0 and the sections at stage 1; joined in (stage, file_path, piece) order they are the prompt.
+    The preamble stands at stage 0, the sections at stage 1; read in (stage, file_path, piece) order they are the prompt,
+    whatever its size, and no row grows with it. ``requests`` are those that have sections; without it they are found there.
     """
-    sections = cut_lineage(sections)
-    sizes = sections.groupBy("request_id").agg(F.sum(F.octet_length("text")).alias("_bytes"))
-    small, big = sizes.where(F.col("_bytes") <= max_bytes), sizes.where(F.col("_bytes") > max_bytes)
-    intro = F.lit(preamble(tool))
+    with_context = (sections if requests is None else requests).select("request_id").distinct()
+    intro = with_context.select(
+        "request_id",
+        F.lit(PREAMBLE_STAGE).alias("stage"),
+        F.lit("").alias("file_path"),
+        F.lit(0).alias("piece"),
+        F.lit(preamble(tool)).alias("prompt"),
+    )
+    return intro.unionByName(sections.withColumn("stage", F.lit(SECTION_STAGE)).withColumnRenamed("text", "prompt"))
 
-    def first_stage(df: DataFrame, prompt: Column) -> DataFrame:
-        return df.select(
-            "request_id",
-            F.lit(WHOLE_STAGE).alias("stage"),
-            F.lit("").alias("file_path"),
-            F.lit(0).alias("piece"),
-            prompt.alias("prompt"),
-        )
 
-    joined = (
-        sections.join(small, "request_id")
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("file_path", "piece", "text"))).alias("rows"))
-    )
-    parts = sections.join(big, "request_id").select(
-        "request_id", F.lit(SECTION_STAGE).alias("stage"), "file_path", "piece", F.col("text").alias("prompt")
-    )
-    return (
-        first_stage(joined, F.concat(intro, F.array_join(F.col("rows.text"), "")))
-        .unionByName(first_stage(big, intro))
-        .unionByName(parts)
-    )
+def whole_prompts(prompts: DataFrame) -> DataFrame:
+    """(request_id, prompt): each prompt as one string, for callers whose prompts fit into a row."""
+    rows = F.array_sort(F.collect_list(F.struct("stage", "file_path", "piece", "prompt")))
+    return prompts.groupBy("request_id").agg(F.array_join(rows["prompt"], "").alias("prompt"))
 
 
 def elided_bodies(rendered: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -183,12 +167,10 @@ class Compressed:
     ccr: DataFrame
 
 
-def compress(
-    ranked: DataFrame, symbols: DataFrame, strip_brace: bool = False, max_bytes: int = MAX_PROMPT_BYTES
-) -> Compressed:
+def compress(ranked: DataFrame, symbols: DataFrame, strip_brace: bool = False) -> Compressed:
     rendered = render(ranked, symbols, strip_brace)
     return Compressed(
-        assemble(pack_by_file(rendered), max_bytes),
+        assemble(pack_by_file(rendered)),
         compression_stats(rendered),
         elided_bodies(rendered, symbols),
     )
