@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from suite import sql_parts as P
 from suite import views as V
@@ -17,7 +19,10 @@ from threadloom.functions.masking import RULE_NAMES, mask, mask_counts
 from threadloom.operators import answers, catalog, compress, extract, linking, ranking, report, traverse
 from threadloom.operators import vectors as vec
 from threadloom.plans import index, requests
+from threadloom.schemas import ANSWERS, SYMBOLS
 from threadloom.session import checkpoint_dir, cut_lineage
+from threadloom.sources import tables
+from threadloom.sources.keyed import KeyedTable
 from threadloom.streaming import jobs
 
 Spark = SparkSession
@@ -878,6 +883,16 @@ def prompt_pack(spark: Spark, sf: str) -> DataFrame:
     return requests.final_prompts(cut_lineage(optimize(spark, sf).prompts), V.v_requests(spark, sf))
 
 
+@query("ccr_put", with_views(["v_symbols"], _CCR))
+def ccr_put(spark: Spark, sf: str) -> DataFrame:
+    """Bodies put twice, the second time those of one directory in ten, stay one row per key."""
+    symbols = V.v_symbols(spark, sf)
+    store = tables.ccr_table(_folder(spark, "ccr"))
+    store.put(compress.ccr_store(symbols))
+    store.put(compress.ccr_store(symbols.where(F.col("n") % 10 == 0)))
+    return store.read(spark)
+
+
 @query(
     "ccr_retrieve",
     with_views(
@@ -1162,46 +1177,87 @@ def _stream(spark: Spark, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
+_ADDED = "\nclass Added:\n    pass\n"
+_NOW_STEPS = {
+    "v_code_now": f"""
+      select file_path, case when file_path like '%.py' and length(file_path) % 2 = 1 then content || {text(_ADDED)}
+        else content end as content from v_code""",
+    **{name: re.sub(r"\bv_code\b", "v_code_now", step) for name, step in _DECLARED_STEPS.items()},
+}
+
+
+@query("stream_changed_files", with_views(["v_code"], f"select {_DECLARED} from declared", _NOW_STEPS))
+def stream_changed_files(spark: Spark, sf: str) -> DataFrame:
+    """Declarations after three batches of file versions: all files, Python files with a class more, half of those without."""
+    code = V.v_code(spark, sf)
+    python = code.where(F.col("file_path").endswith(".py"))
+    back = python.where(F.length("file_path") % 2 == 0)
+    arriving, offsets = _folder(spark, "versions"), _folder(spark, "offsets")
+    files = KeyedTable(_folder(spark, "files"), ["file_path"], StructType.fromDDL("file_path string, sha256 string"))
+    symbols = KeyedTable(_folder(spark, "symbols"), ["file_path"], SYMBOLS)
+
+    def parse(changed: DataFrame) -> DataFrame:
+        described = extract.describe_files(changed.select("file_path", "content"))
+        return extract.declarations(described.where(F.col("language") != "go")).withColumn("dependencies", F.lit(None))
+
+    fields = "file_path string, content string, version int"
+    for i, state in enumerate([code, python.withColumn("content", F.concat("content", F.lit(_ADDED))), back]):
+        state.withColumn("version", F.lit(i)).write.mode("append").parquet(arriving)
+        jobs.stream_changed_files(
+            spark.readStream.schema(fields).parquet(arriving).withColumn("sha256", F.sha2("content", 256)),
+            files,
+            symbols,
+            offsets,
+            parse,
+        ).awaitTermination()
+    return symbols.read(spark).withColumn("language", paths.language(F.col("file_path"))).select(*_DECLARED.split(", "))
+
+
+_TWO_BATCHES = {
+    "lookup_0": """
+      select request_id, path, hash, embedding, coalesce(ok, false) as hit, case when ok then score end as score,
+        case when ok then response end as response
+      from (select r.request_id, r.path, r.hash, r.embedding, c.response, {cosine} as score,
+          {cosine} >= 0.92::double and (c.path is null or coalesce(c.path = r.path and c.hash = r.hash, false)) as ok,
+          row_number() over (partition by r.request_id order by {cosine} desc, c.seq) as rn
+        from v_answer_requests r cross join v_answer_cache c where r.request_id % 2 = 0) where rn = 1""",
+    "grown": """
+      select seq, path, hash, embedding, response from v_answer_cache union all
+      select 1000000000 + request_id, path, hash, embedding, 'fresh answer ' || request_id from lookup_0 where not hit""",
+    "lookup_1": """
+      select request_id, coalesce(ok, false) as hit, case when ok then score end as score, case when ok then response end as response
+      from (select r.request_id, c.response, {cosine} as score,
+          {cosine} >= 0.92::double and (c.path is null or coalesce(c.path = r.path and c.hash = r.hash, false)) as ok,
+          row_number() over (partition by r.request_id order by {cosine} desc, c.seq) as rn
+        from v_answer_requests r cross join grown c where r.request_id % 2 = 1) where rn = 1""",
+}
+
+
 @query(
-    "stream_changed_files",
+    "stream_answer_lookup",
     with_views(
-        ["v_files", "v_files_prev"],
-        f"""select file_path, sha256, {P.language("file_path")} as language from v_files f where not exists (
-          select 1 from v_files_prev p where p.file_path = f.file_path and p.sha256 = f.sha256)""",
+        _ANSWER_VIEWS,
+        """select request_id, hit, round(score, 5) as score, response from lookup_0
+        union all select request_id, hit, round(score, 5), response from lookup_1""",
+        {name: step.replace("{cosine}", P.cosine("r.embedding", "c.embedding")) for name, step in _TWO_BATCHES.items()},
     ),
 )
-def stream_changed_files(spark: Spark, sf: str) -> DataFrame:
-    """File versions arrive as a stream; only new and changed ones go through the parsing step."""
-    arriving = _stream(spark, sf, "documents").select(
-        V._file_path().alias("file_path"),
-        F.col("text").alias("content"),
-        F.sha2("text", 256).alias("sha256"),
-        F.lit(2).alias("version"),
-    )
-    out = _folder(spark, "changed")
-    jobs.stream_changed_files(
-        arriving,
-        V.v_files_prev(spark, sf),
-        out,
-        _folder(spark, "offsets"),
-        lambda df: df.select("file_path", "sha256", paths.language(F.col("file_path")).alias("language")),
-    ).awaitTermination()
-    return spark.read.parquet(out).select("file_path", "sha256", "language")
-
-
-@query("stream_answer_lookup", with_views(_ANSWER_VIEWS, "select * from lookup", _BEST_STEPS))
 def stream_answer_lookup(spark: Spark, sf: str) -> DataFrame:
-    """Requests arrive as a stream of numbers and bring their vectors from the request table."""
+    """Requests arrive in two batches; the second also finds the answers that the misses of the first got."""
     asked = V.v_answer_requests(spark, sf)
-    arriving = _stream(spark, sf, "embeddings").select(F.col("vec_id").alias("request_id")).join(asked, "request_id")
-    out = _folder(spark, "lookup")
-    jobs.stream_answer_lookup(
-        arriving, V.v_answer_cache(spark, sf), out, _folder(spark, "offsets")
-    ).awaitTermination()
-    return (
-        spark.read.parquet(out)
-        .select("request_id", "hit", "seq", F.round("score", 5).alias("score"), "response")
-    )
+    cache = KeyedTable(_folder(spark, "cache"), ["seq"], ANSWERS)
+    cache.put(V.v_answer_cache(spark, sf).withColumn("created_at", F.lit(None).cast("timestamp")), 0)
+    arriving, out, offsets = _folder(spark, "requests"), _folder(spark, "lookup"), _folder(spark, "offsets")
+
+    def answer(misses: DataFrame) -> DataFrame:
+        said = F.concat(F.lit("fresh answer "), F.col("request_id").cast("string"))
+        return misses.withColumns({"query": said, "response": said, "created_at": F.lit(None).cast("timestamp")})
+
+    for part in (0, 1):
+        asked.where(F.col("request_id") % 2 == part).select("request_id").write.mode("append").parquet(arriving)
+        requests_now = spark.readStream.schema("request_id long").parquet(arriving).join(asked, "request_id")
+        jobs.stream_answer_lookup(requests_now, cache, out, offsets, answer=answer).awaitTermination()
+    return spark.read.parquet(out).select("request_id", "hit", F.round("score", 5).alias("score"), "response")
 
 
 @query(

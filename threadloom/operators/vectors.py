@@ -21,12 +21,13 @@ SLACK = 1e-6  # far above the rounding difference between the two ways to comput
 
 
 def vector_upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per id; the highest ``batch`` wins."""
+    """One row per id; the highest ``batch`` wins, among equal ones the highest hash of the row."""
     both = existing.unionByName(new)
     rest = [c for c in both.columns if c not in ("id", "batch")]
+    order = F.struct("batch", F.xxhash64(F.to_json(F.struct(*rest))))
     return (
         both.groupBy("id")
-        .agg(F.max_by(F.struct("batch", *rest), "batch").alias("row"))
+        .agg(F.max_by(F.struct("batch", *rest), order).alias("row"))
         .select("id", "row.batch", *[f"row.{c}" for c in rest])
     )
 

@@ -21,23 +21,27 @@ class Index:
     links: Links
 
 
+def visible(sources: DataFrame, root: str = "") -> DataFrame:
+    """Sources without those that are hidden below ``root``."""
+    return sources.where(~is_hidden(F.substring(F.col("file_path"), len(root) + 1, 2**31 - 1)))
+
+
 def index_sources(sources: DataFrame, root: str = "") -> Index:
     """Index of ``sources(file_path, content)``; hidden paths below ``root`` and broken files are left out.
 
     The tables are written once: linking reads the symbols several times.
     """
-    relative = F.substring(F.col("file_path"), len(root) + 1, 2**31 - 1)
-    files = describe_files(sources.where(~is_hidden(relative)))
+    files = describe_files(visible(sources, root))
     symbols = cut_lineage(extract_symbols(files))
     good = cut_lineage(files.where(F.col("parse_status") == "ok").drop("content", "parse_status"))
     return Index(good, symbols, link_symbols(symbols, good))
 
 
 def refresh_symbols(
-    sources: DataFrame, previous_files: DataFrame, previous_symbols: DataFrame
+    sources: DataFrame, previous_files: DataFrame, previous_symbols: DataFrame, root: str = ""
 ) -> DataFrame:
-    """Symbols of the current sources, extracting only new and changed files."""
-    files = describe_files(sources)
+    """Symbols of the current sources, as ``index_sources`` finds them, extracting only new and changed files."""
+    files = describe_files(visible(sources, root))
     kept = previous_symbols.join(
         unchanged_files(files, previous_files).select("file_path"), "file_path", "left_semi"
     )

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from threadloom.operators.answers import THRESHOLD, answer_lookup
+from threadloom.operators.answers import THRESHOLD, answer_lookup, append_answers
 from threadloom.operators.catalog import changed_files, last_wins
 from threadloom.operators.report import savings_columns
+from threadloom.session import cut_lineage, release
+from threadloom.sources.keyed import KeyedTable
 
 
 def _versioned(folder: str, batch: int) -> str:
@@ -18,19 +20,29 @@ def _versioned(folder: str, batch: int) -> str:
 
 
 def stream_changed_files(
-    versions: DataFrame, previous: DataFrame, out: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame]
+    versions: DataFrame,
+    files: KeyedTable,
+    symbols: KeyedTable,
+    checkpoint: str,
+    parse: Callable[[DataFrame], DataFrame],
+    first: int = 1,
 ) -> StreamingQuery:
-    """Parse only new or changed file versions of a stream.
+    """Keep a table of files and one of what is parsed from them up to date with a stream of file versions.
 
-    ``versions(file_path, sha256, ...)`` carry the files as they arrive. A micro-batch keeps the last
-    version per path, drops what the snapshot already holds and writes the parsed rest to a folder of
-    its own. A batch that runs again after a failure overwrites its folder, so nothing counts twice. No
-    streaming state grows with the number of files: the truth stays in the snapshot.
+    ``versions(file_path, sha256, version, ...)`` carry the files as they arrive. A micro-batch keeps the last version per
+    path, compares it with the files as they were before the batch, and puts the changed files and their symbols, both by
+    path: a file that returns to an earlier content changes back, and one without symbols has none. The puts are numbered
+    from ``first``, so a batch that runs again after a failure sees what it saw before and replaces its own puts. No
+    streaming state grows with the number of files.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        known = files.read(batch.sparkSession, before=first + number)
         newest = last_wins(batch, ["file_path"], ["version", "sha256"])
-        parse(changed_files(newest, previous)).write.mode("overwrite").parquet(_versioned(out, number))
+        changed = cut_lineage(changed_files(newest, known))
+        symbols.put(parse(changed), first + number, touched=changed)
+        files.put(changed, first + number)
+        release(changed)
 
     return (
         versions.writeStream.foreachBatch(merge)
@@ -41,12 +53,29 @@ def stream_changed_files(
 
 
 def stream_answer_lookup(
-    requests: DataFrame, cache: DataFrame, out: str, checkpoint: str, threshold: float = THRESHOLD
+    requests: DataFrame,
+    cache: KeyedTable,
+    out: str,
+    checkpoint: str,
+    threshold: float = THRESHOLD,
+    answer: Callable[[DataFrame], DataFrame] | None = None,
+    first: int = 1,
 ) -> StreamingQuery:
-    """Look up every arriving request in the answer cache."""
+    """Look up every arriving request in the answer cache, and keep the answers to those that miss.
+
+    ``answer`` turns the misses of a micro-batch into cache rows without ``seq``; a later batch finds them. A batch sees the
+    cache as it was before its own put, numbered from ``first``, so running it again gives the same and adds nothing twice.
+    """
 
     def lookup(batch: DataFrame, number: int) -> None:
-        answer_lookup(batch, cache, threshold).write.mode("overwrite").parquet(_versioned(out, number))
+        known = cache.read(batch.sparkSession, before=first + number)
+        found = cut_lineage(answer_lookup(batch, known, threshold))
+        found.write.mode("overwrite").parquet(_versioned(out, number))
+        if answer is not None:
+            misses = batch.join(found.where(~F.col("hit")), "request_id", "left_semi")
+            last = known.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            cache.put(append_answers(known.limit(0), answer(misses), last), first + number)
+        release(found)
 
     return (
         requests.writeStream.foreachBatch(lookup)
