@@ -7,8 +7,8 @@ tree's first level is finer than a box: a branch for each shingle that two sets
 the prefix rule such sets have one in common among the first ``n - ceil(0.8 n) + 1`` of each, in one order for all. Inside
 a branch, boxes of points and then points are pruned by the bound, and what survives is verified on the sets.
 
-The order puts shingles that are frequent within some task last. It is a matter of speed alone: any order gives the same
-links. At most ``FREQUENT`` of them travel to the tasks.
+The order puts shingles last whose bucket, of a fixed number, is frequent within some task. It is a matter of speed alone:
+any order gives the same links. At most ``FREQUENT`` buckets travel to the tasks.
 
 Links are needed for their classes only. So each branch first offers its members to its smallest one; whole groups of near
 copies become one class by that, in as many pairs as the branch has members. Only branches that still hold several classes
@@ -22,8 +22,6 @@ Texts shorter than a shingle have one shingle. Repeated rows share a class. An e
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +36,7 @@ WIDTH = 5
 PERCENT = 80
 GROUPS = 512
 FREQUENT = 200_000
+BUCKETS = 1 << 22  # 16 MB in a task
 LOCAL = 8
 TILE = 512
 BOX = 16
@@ -70,34 +69,25 @@ def _digest(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def _points(docs: DataFrame) -> DataFrame:
-    """``id, key, n, node, counts`` per document; rows with a ``token`` and its number are a task's frequent shingles."""
+def _sizes(docs: DataFrame) -> DataFrame:
+    """``id, key, n, node`` per document; rows with a ``bucket`` and its number are where a task's frequent shingles fall.
+
+    A task counts into ``BUCKETS`` numbers, whatever it reads.
+    """
 
     def run(batches):
-        seen: Counter = Counter()
+        seen = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            ids, keys, sizes, nodes, counts = [], [], [], [], []
-            for doc, key, text in zip(*(column(batch, c) for c in ("id", "key", "text")), strict=True):
-                found = shingles(text)
-                ids.append(doc)
-                keys.append(key)
-                sizes.append(len(found))
-                nodes.append(_digest(found))
-                counts.append(np.bincount(found & (GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes())
-                seen.update(found.tolist())
-            if len(seen) > 2_000_000:
-                seen = Counter({t: c for t, c in seen.items() if c > 1})
-            yield _point_rows(ids, keys, sizes, nodes, counts, [None] * len(ids))
-        often = {t: c for t, c in seen.items() if c >= LOCAL}
-        nothing = [None] * len(often)
-        yield _point_rows(nothing, nothing, list(often.values()), nothing, nothing, list(often))
-
-    return cut_lineage(docs.mapInArrow(run, "id long, key long, n long, node long, counts binary, token long"))
-
-
-def _point_rows(ids, keys, sizes, nodes, counts, tokens) -> pa.RecordBatch:
-    arrays = [pa.array(x, pa.int64()) for x in (ids, keys, sizes, nodes)]
-    return record(["id", "key", "n", "node", "counts", "token"], [*arrays, pa.array(counts, pa.binary()), pa.array(tokens, pa.int64())])
+            sets = [shingles(text) for text in column(batch, "text")]
+            for found in sets:
+                np.add.at(seen, found & (BUCKETS - 1), 1)
+            numbers = [[len(found) for found in sets], [_digest(found) for found in sets], [None] * len(sets)]
+            yield record(["id", "key", "n", "node", "bucket"], [pa.array(x, pa.int64()) for x in (column(batch, "id"), column(batch, "key"), *numbers)])
+        often = np.flatnonzero(seen >= LOCAL)
+        nothing = pa.nulls(len(often), pa.int64())
+        yield record(["id", "key", "n", "node", "bucket"], [nothing, nothing, seen[often].astype(np.int64), nothing, often])
+
+    return cut_lineage(docs.mapInArrow(run, "id long, key long, n long, node long, bucket long"))
 
 
 def _branches(docs: DataFrame, frequent: np.ndarray, often: np.ndarray) -> DataFrame:
@@ -112,8 +102,9 @@ def _branches(docs: DataFrame, frequent: np.ndarray, often: np.ndarray) -> DataF
                 continue
             take = n - -(-PERCENT * n // 100) + 1
             if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                order = np.where(frequent[at] == found, often[at], 0)
+                bucket = found & (BUCKETS - 1)
+                at = np.minimum(np.searchsorted(frequent, bucket), len(frequent) - 1)
+                order = np.where(frequent[at] == bucket, often[at], 0)
                 chosen = found[np.argsort(order, kind="stable")[:take]]
             else:
                 chosen = found[:take]
@@ -191,40 +182,41 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``node, s`` with the whole shingle sets of the documents of some keys, one per node."""
+    """``node, s, counts`` with the whole shingle sets and points of the documents of some keys, one per node."""
 
     def work(batch: pa.RecordBatch):
-        nodes, sets = [], []
+        nodes, sets, counts = [], [], []
         for text in column(batch, "text"):
             found = shingles(text)
             nodes.append(_digest(found))
             sets.append(found)
+            counts.append(np.bincount(found & (GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes())
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int64), *sets])
-        yield record(["node", "s"], [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))])
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        yield record(["node", "s", "counts"], [pa.array(nodes, pa.int64()), listed, pa.array(counts, pa.binary())])
 
     chosen = docs.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("text")
-    return cut_lineage(map_batches(chosen, work, "node long, s array<long>"))
+    return cut_lineage(map_batches(chosen, work, "node long, s array<long>, counts binary"))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, key, n, component`` for every document: the size of its set and the smallest id reachable by links."""
     rows = keyed(docs, id_col, text_col)
-    everything = _points(rows)
-    per_doc = everything.where("token is null").drop("token")
+    everything = _sizes(rows)
+    per_doc = everything.where("bucket is null").drop("bucket")
     frequent = (
-        everything.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(FREQUENT).orderBy("token").toPandas()
+        everything.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "bucket").limit(FREQUENT).orderBy("bucket").toPandas()
     )
     filled = per_doc.where("n > 0")
-    points = filled.groupBy("node").agg(F.first("counts").alias("counts"), F.min("key").alias("key"))
-    branches = cut_lineage(_branches(rows, frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)).distinct())
+    branches = cut_lineage(_branches(rows, frequent["bucket"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)).distinct())
     heads = branches.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("n", "node")).alias("head"))
     shared = cut_lineage(branches.join(heads.where("members > 1"), "token"))
     release(branches)
     involved = shared.select("node").distinct()
-    points = cut_lineage(points.join(involved, "node"))
-    sets = _sets(rows, points.select("key"))
+    of_involved = _sets(rows, filled.join(involved, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key"))
+    points, sets = of_involved.select("node", "counts"), of_involved.select("node", "s")
     offered = shared.where("node <> head.node").select(
         F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")
     )
