@@ -2,8 +2,8 @@
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, where tokens with a digit
 count as a variable. In a leaf, a token stays part of the template where at least ``min_docs`` different documents have
-it at that place; everything else is a variable field. A template that is constant in at least ``CONSTANT`` of its tokens
-and occurs in at least ``min_docs`` different documents recurs, and its lines are dropped but for the first one, that of
+it at that place; everything else is a variable field. A template that keeps at least ``MIN_FIXED`` words and at least
+``CONSTANT`` of a line's words, its tokens without a digit, and that occurs in ``min_docs`` different documents recurs, and its lines are dropped but for the first one, that of
 the smallest id and then the smallest line number.
 
 Documents of equal text count as one here, since whole copies are another operator's matter. Lines of fewer than
@@ -27,7 +27,8 @@ from threadloom.session import cut_lineage
 DEPTH = 3
 MIN_DOCS = 10
 MIN_TOKENS = 5
-CONSTANT = 0.7
+MIN_FIXED = 3  # words that a template has at least
+CONSTANT = 0.7  # share of a line's words, fields with digits aside, that its template has
 VARIABLE = "<*>"
 
 
@@ -67,10 +68,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "do
         .groupBy("leaf", "key", "line")
         .agg(F.count("*").alias("n_fixed"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fields"))
     )
+    words = F.filter("t", lambda t: t != VARIABLE)
     shaped = (
-        busy.select("leaf", "key", "line", "id", "content", F.size("t").alias("n"))
+        busy.select("leaf", "key", "line", "id", "content", F.size("t").alias("n"), F.size(words).alias("n_words"))
         .join(fixed, ["leaf", "key", "line"])
-        .where(F.col("n_fixed") >= CONSTANT * F.col("n"))
+        .where((F.col("n_fixed") >= MIN_FIXED) & (F.col("n_fixed") >= CONSTANT * F.col("n_words")))
         .select("key", "line", "id", "content", F.xxhash64("leaf", "n", "fields").alias("template"))
     )
     shaped = cut_lineage(shaped)
