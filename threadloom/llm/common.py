@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from threadloom.session import cut_lineage, release
 
 
+TABLE_BITS = 1 << 24  # 2 MB of marks, 262,144 words
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """64-bit key of a row. Rows equal in id and text share it and get the same result; a null id is one more id."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
@@ -34,6 +37,23 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def may_have(rows: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+    """The rows whose 64-bit digest ``col`` may be one of ``keys``, without an exchange of them; others may stay, too.
+
+    The keys mark bits in a table of ``TABLE_BITS`` at most, which is sent to all tasks as words of 64 bits. A full table
+    lets everything pass. A null passes nothing.
+    """
+    bits = 1 << 10
+    wanted = min(TABLE_BITS, 8 * keys.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.col(col).bitwiseAND(F.lit(bits - 1))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
+    return marked.where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import column, map_batches, record
-from threadloom.session import cut_lineage
+from threadloom.llm.common import column, map_batches, may_have, record
+from threadloom.session import cut_lineage, release
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -90,11 +90,18 @@ def marks(docs: DataFrame, anchors: Anchors, levels: int, listed: Callable[[byte
     """
     rows = anchor_rows(docs, anchors).withColumn("rank", F.element_at("cores", 1))
     rows = cut_lineage(rows.drop("cores") if levels == 1 else rows)
+    written = [rows]
     for level in range(1, levels + 1):
         if level > 1:
             rows = rows.withColumn("rank", F.xxhash64("rank", F.element_at("cores", level)))
         counts = rows.groupBy("rank").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
-        rows = cut_lineage(rows.join(counts.where("low < high" if earlier else "c > 1").select("rank"), "rank", "left_semi"))
+        again = counts.where("low < high" if earlier else "c > 1").select("rank")
+        if level == 1:  # most anchors have a core of their own; a filter spares them the exchange
+            again = cut_lineage(again)
+            rows = may_have(rows, "rank", again)
+        after = cut_lineage(rows.join(again, "rank", "left_semi"))
+        release(*written)
+        rows, written = after, [after]
     shared = rows.drop("cores")
     kinds = shared.groupBy("rank", "whole").agg(
         F.count("*").alias("c"), F.min("id").alias("first"), F.min(F.struct("key", "lo")).alias("one")
