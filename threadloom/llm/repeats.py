@@ -131,8 +131,8 @@ def marks(docs: DataFrame, anchors: Anchors, levels: int, listed: Callable[[byte
 
     windows = map_batches(docs.join(ranges, "key").select("id", "key", "text", "ranges"), work, "id long, key long, digest long, lo long")
     windows = cut_lineage(windows)
-    counts = windows.groupBy("digest").agg(F.count("*").alias("c"), F.min("id").alias("first"))
-    hit = windows.join(counts.where("c > 1"), "digest")
+    counts = cut_lineage(windows.groupBy("digest").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1"))
+    hit = may_have(windows, "digest", counts).join(counts, "digest")
     if earlier:
         hit = hit.where("id > first")
     return again.union(hit.select("key", "lo", F.col("lo").alias("hi"))).distinct()
