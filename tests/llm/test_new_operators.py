@@ -253,3 +253,23 @@ def test_a_long_periodic_text_takes_seconds():
     found = word_runs.find_runs(text)
     assert [(n, p) for _, n, p in found] == [(300_000, 1), (300_000, 3)]
     assert time.perf_counter() - began < 60
+
+
+def test_ids_by_ranks_are_the_tokenizers():
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from threadloom.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.fast
+    assert not packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).fast
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(" \t\n\r'abestrvlSTM09.,-–“é\x85\xa0\x1cſßİ日<|") for _ in range(draw.randrange(80))) for _ in range(3000)]
+    texts += ["", "a<|endoftext|>b", "x" * 5000, *(f" {chr(c)}9{chr(c)}{chr(c)} a" for c in range(0x250))]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids

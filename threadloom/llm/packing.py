@@ -16,12 +16,14 @@ equal rows may swap places. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,10 +36,9 @@ GRAIN = 4
 END = 1
 GAP = 0.0005
 RANK_BUCKETS = 128
-CACHE = 200_000
 
 # Fixed value: what a byte-level tokenizer takes as one word.
-_WORDS = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_WORDS = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BEYOND_LATIN = regex.compile(r"[^\x00-\u024F]")
 _loaded: dict[str, Encoder] = {}
 
@@ -45,34 +46,44 @@ _loaded: dict[str, Encoder] = {}
 class Encoder:
     """Token ids as little-endian bytes.
 
-    No token reaches over the border of a word, so the words of a text in Latin letters are encoded on their own and the last
-    ``CACHE`` or fewer of them are remembered. Other texts, and those that spell out a special token, are encoded whole.
+    A byte-level vocabulary whose ids are the ranks of its merges, and which gives each of its tokens back as that one token, is
+    run by ``tiktoken`` on the same ranks: then two neighbours that join into a token are always the pair that its merge names, so
+    joining by rank gives the tokenizer's ids. Where the file says otherwise, and for texts with characters beyond Latin, whose
+    classes the two libraries might see differently, or with a special token spelt out, the tokenizer itself is asked.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ranks = _ranks(path, self.tokenizer)
+        self.fast = ranks and tiktoken.Encoding(path, pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _BEYOND_LATIN.search(text) or any(token in text for token in self.added):
-            return self.whole([text])[0]
-        words = _WORDS.findall(text)
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            new = list({w for w, p in zip(words, parts, strict=True) if p is None})
-            made = dict(zip(new, self.whole(new), strict=True))
-            parts = [made[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-            if len(self.known) + len(made) > CACHE:
-                self.known.clear()
-            if len(made) <= CACHE:
-                self.known.update(made)
-        return b"".join(parts)
+        if not self.fast or _BEYOND_LATIN.search(text) or any(token in text for token in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def _ranks(path: str, tokenizer: Tokenizer) -> dict[bytes, int] | None:
+    """Rank of each token's bytes, None where ranks alone do not tell the ids."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    model, before = parts["model"], parts["pre_tokenizer"] or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if model["type"] != "BPE" or parts["normalizer"] or any(before.get(k) != v for k, v in plain.items()):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    letters = {chr(b): b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if chr(b) not in letters)}
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if len(vocab) != 256 + len(merges) or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    if any(len(found := tokenizer.model.tokenize(token)) != 1 or found[0].id != i for token, i in vocab.items()):
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in vocab.items()}
 
 
 def encoder(path: str) -> Encoder:
