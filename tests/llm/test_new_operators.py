@@ -273,3 +273,31 @@ def test_ids_by_ranks_are_the_tokenizers():
     texts += ["", "a<|endoftext|>b", "x" * 5000, *(f" {chr(c)}9{chr(c)}{chr(c)} a" for c in range(0x250))]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_leaves_and_boxes_give_the_same_pairs():
+    import pandas as pd
+    import pyarrow as pa
+
+    from threadloom.llm import ngram_join as join
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for token in range(60):
+        base = rng.integers(-(1 << 62), 1 << 62, 400 if token % 7 else 4000)
+        for _ in range(rng.integers(2, 3 * join.LEAF)):
+            found = np.unique(np.where(rng.random(len(base)) < rng.choice([0, 0.05, 0.3]), rng.integers(-(1 << 62), 1 << 62, len(base)), base))
+            point = np.bincount(found & (join.GROUPS - 1), minlength=join.GROUPS)
+            counts = point.astype("u1" if point.max() < 256 and token % 2 else "<u4").tobytes()
+            node = join._digest(found)
+            rows.append((token, 0, 0, False, node, len(found), len(found) - int(rng.integers(0, 30)), node if rng.random() < 0.8 else 7, counts))
+    names = ["token", "i", "j", "right", "node", "n", "rest", "root", "counts"]
+    table = pd.DataFrame(rows, columns=names)
+    want = set()
+    for _, group in table.groupby("token"):
+        want |= set(join.survivors(group, group, True).itertuples(index=False, name=None))
+    arrow = pa.Table.from_pandas(table, preserve_index=False)
+    for size in (7, 100, 10_000):
+        got = [b.to_pylist() for b in join._tree_pairs(iter(arrow.to_batches(max_chunksize=size)))]
+        assert {(r["a"], r["b"]) for part in got for r in part} == want
+    assert want and not list(join._tree_pairs(iter([])))

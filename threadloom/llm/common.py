@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,24 @@ def record(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names)
 
 
+def word_digests(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of all texts of a batch, one after the other, and where each text's begin, with the end.
+
+    Words are what white space of ASCII leaves. Each different word of the batch is hashed once. A null has no words.
+    """
+    texts = texts.view(pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words = lists.flatten()
+    real = pc.not_equal(words, "")
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    starts = before[np.concatenate(([0], np.cumsum(counts)))]
+    coded = words.filter(real).dictionary_encode()
+    kinds = coded.dictionary.view(pa.binary()).to_pylist()
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))
+    return digests[coded.indices.to_numpy()], starts
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
