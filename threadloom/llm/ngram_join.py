@@ -39,9 +39,9 @@ from threadloom.session import cut_lineage, release
 WIDTH = 5
 PERCENT = 80
 GROUPS = 512
-FREQUENT = 1_000_000
+FREQUENT = 200_000
 BUCKETS = 1 << 23  # 32 MB in a task
-LOCAL = 3
+LOCAL = 8
 TILE = 512
 BOX = 16
 LEAF = 2 * BOX
