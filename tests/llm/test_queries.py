@@ -190,3 +190,39 @@ def test_template_lines(spark):
 
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in QUERIES) == list(range(1, 14))
+
+
+def test_anchors_of_windows():
+    """Equal windows have anchors with equal cores whatever stands around them, alone or among other texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from threadloom.llm import word_repeats as wr
+    from threadloom.llm.common import word_digests
+
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in rng.integers(0, 30, 60)] + ["run"] * 17 + [f"q{i}" for i in range(40)]
+    texts = [b"", b"short text", b"same " * 40]
+    for _ in range(25):
+        around = [[f"w{i}" for i in rng.integers(0, 400, rng.integers(0, 50))] for _ in range(2)]
+        texts.append(" ".join(around[0] + passage + around[1]).encode())
+    array = pa.array([None, *texts, None], pa.binary())
+    doc, core, whole, lo, hi = wr.anchors(*word_digests(array))
+    cores, places = defaultdict(set), Counter()
+    for d, c, a, b in zip(doc.tolist(), core.tolist(), lo.tolist(), hi.tolist()):
+        words = array[d].as_py().split()
+        for start in range(a, b + 1):
+            cores[tuple(words[start : start + wr.WIDTH])].add(c)
+            places[d, start] += 1
+    assert all(len(found) == 1 for found in cores.values())
+    assert set(places.values()) == {1}
+    assert places.total() == sum(max(len(t.split()) - wr.WIDTH + 1, 0) for t in texts)
+    for i, text in enumerate(texts):
+        alone = wr.anchors(*word_digests(pa.array([text], pa.binary())))
+        for got, want in zip(alone[1:], (core, whole, lo, hi)):
+            assert got.tolist() == want[doc == i + 1].tolist()
+    rows = pa.RecordBatch.from_arrays([array], ["text"])
+    for size in (1, 500, 1 << 20):
+        parts = list(wr.portions(rows, size))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == array.to_pylist() and all(p.num_rows for p in parts)
+    assert not list(wr.portions(rows.slice(0, 0), 10))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from threadloom.llm.common import column, keyed, map_batches, record, runs
-from threadloom.llm.repeats import Digests, covered, marks, scramble, with_marks
+from threadloom.llm.repeats import Digests, anchor_rows, covered, marks, scramble, with_marks
 
 WIDTH = 400
 SAMPLE = 200
@@ -70,7 +70,7 @@ def _windows(text: bytes, starts: np.ndarray) -> np.ndarray:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept, kept_sha256``: the bytes left, and what went."""
     rows = keyed(docs, id_col, text_col)
-    found = marks(rows, suffixes, len(STEPS) - 1, _windows, earlier=False)
+    found = marks(rows, anchor_rows(rows, suffixes), len(STEPS) - 1, _windows, earlier=False)
 
     def work(batch: pa.RecordBatch):
         out = [[] for _ in range(5)]

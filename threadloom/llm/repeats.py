@@ -6,7 +6,8 @@ cover, and the range of their starts. Anchors with a core of their own drop out.
 its windows do, without being listed. Only where stretches of one core differ are windows listed, one stretch of each
 kind, and counted on their own. Counts are pre-aggregated and joined back; nothing is gathered but the marks of a document.
 
-Digests have 64 bits; that two different windows of a corpus share one is as likely as a memory fault.
+Digests have 64 bits and are taken as the windows: among n different stretches that meet in one count, about n * n / 2**65
+pairs share a digest by chance, 3 in ten billion stretches and some hundreds in a hundred billion.
 """
 
 from __future__ import annotations
@@ -82,14 +83,14 @@ def anchor_rows(docs: DataFrame, anchors: Anchors) -> DataFrame:
     return map_batches(docs, work, "id long, key long, cores array<long>, whole long, lo long, hi long")
 
 
-def marks(docs: DataFrame, anchors: Anchors, levels: int, listed: Callable[[bytes, np.ndarray], np.ndarray], earlier: bool) -> DataFrame:
+def marks(docs: DataFrame, rows: DataFrame, levels: int, listed: Callable[[bytes, np.ndarray], np.ndarray], earlier: bool) -> DataFrame:
     """``key, lo, hi``: ranges of starts of windows that occur elsewhere.
 
-    With ``earlier``, elsewhere is a document of a smaller id; otherwise any other place. ``docs`` are ``id, key, text``;
-    ``listed`` gives the digests of the windows at some starts.
+    With ``earlier``, elsewhere is a document of a smaller id; otherwise any other place. ``docs`` are ``id, key, text``,
+    ``rows`` their anchors, with a ``rank`` in place of ``cores`` where there is one level; ``listed`` gives the digests of
+    the windows at some starts.
     """
-    rows = anchor_rows(docs, anchors).withColumn("rank", F.element_at("cores", 1))
-    rows = cut_lineage(rows.drop("cores") if levels == 1 else rows)
+    rows = cut_lineage(rows if levels == 1 else rows.withColumn("rank", F.element_at("cores", 1)))
     written = [rows]
     for level in range(1, levels + 1):
         if level > 1:
@@ -99,6 +100,7 @@ def marks(docs: DataFrame, anchors: Anchors, levels: int, listed: Callable[[byte
         if level == 1:  # most anchors have a core of their own; a filter spares them the exchange
             again = cut_lineage(again)
             rows = may_have(rows, "rank", again)
+            written.append(again)
         after = cut_lineage(rows.join(again, "rank", "left_semi"))
         release(*written)
         rows, written = after, [after]
