@@ -226,3 +226,49 @@ def test_anchors_of_windows():
         parts = list(wr.portions(rows, size))
         assert [x for p in parts for x in p.column(0).to_pylist()] == array.to_pylist() and all(p.num_rows for p in parts)
     assert not list(wr.portions(rows.slice(0, 0), 10))
+
+
+LINES = [f"{STORY}Part {i} of the report follows, with more of the same kind." for i in range(4)]
+PARAS = "".join(f"<p>{x}</p>" for x in LINES)
+NAV = "<nav><a href='/'>Home</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"{NAV}<div class='elementor-widget'><article>{PARAS}</article></div>", LINES),
+        (f"{NAV}<div class='post widget'>{PARAS}</div>", LINES),
+        (f"<div class='has-sidebar'><h1>Head</h1>{PARAS}<div class='sidebar'><p>{STORY}</p></div></div>", ["Head", *LINES]),
+        (f"<article><div class='entry-header'><h1>Head</h1><p>Stand first.</p></div>{PARAS}</article>", ["Head", "Stand first.", *LINES]),
+        (f"<div class='site-header'><h1>Site</h1></div><article>{PARAS}</article>", LINES),
+        (f"<article><div class='social-history'><p>{LINES[0]}</p></div><div class='social-share'><p>Share it.</p></div>{PARAS}</article>", [LINES[0], *LINES]),
+        (f"<main><section>{PARAS}</section><section><p>Short but true.</p></section></main>", [*LINES, "Short but true."]),
+        (f"<article><p>{LINES[0]}</p></article><div class='comments'>" + f"<article>{PARAS}</article>" * 9 + "</div>", LINES[:1]),
+        (f"<article>{PARAS}<div class='related'><article>{PARAS}</article></div></article>", LINES),
+    ],
+)
+def test_main_text_keeps_articles(body, want):
+    from threadloom.llm.main_text import main_text
+
+    assert main_text(f"<html><body>{body}<footer>Copyright</footer></body></html>").split("\n") == [" ".join(x.split()) for x in want]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<b>" * 60_000 + "</i>" * 60_000 + "x",
+        "<div>" * 50_000 + "<header>" * 50_000 + "x",
+        "<b>" * 50_000 + "<p>x</p>" * 50_000,
+        "<div class='widget'>" * 50_000 + "x",
+        "<a href='" * 50_000,
+        "<li>x" * 100_000 + "</ul>" * 50_000,
+    ],
+)
+def test_main_text_is_linear(html):
+    import time
+
+    from threadloom.llm.main_text import main_text
+
+    began = time.perf_counter()
+    main_text(html)
+    assert time.perf_counter() - began < 20

@@ -2,8 +2,10 @@
 
 Every paragraph passes points for its length and its commas to its ancestors, a share that falls with the distance;
 a container's sum is discounted by the part of its text that lies in links. The best container and those of its siblings
-that score enough of its sum, or are link-poor paragraphs of some length, make the main text. Parts that are never
-main text, by their element or by what their class, id or role says, are left out beforehand.
+that score enough of its sum, or are link-poor paragraphs or sections, make the main text. Parts that are never main text by
+their element are left out beforehand, and so are those whose class, id or role says it, unless they hold the article:
+an ``h1``, ``article`` or ``main`` and most of the prose, or all prose there is. The words of readers need an ``h1`` or ``main``.
+The time is linear in the markup, however deep or unclosed it is.
 
 A page is one row's work on its whole markup; pages are spread as Spark reads them and nothing is shuffled. Null, empty
 and markup-free pages give their plain text or an empty one; unclosed elements end where HTML says or with their parent.
@@ -13,6 +15,7 @@ Repeated rows give equal rows, columns beside id, url and html are ignored, and
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -32,6 +35,7 @@ LEFT_OUT = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main".split())
+PROSE = frozenset("p pre blockquote ul ol dl table section article figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -41,15 +45,25 @@ _UNWANTED = re.compile(
     r"nav\w*|newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
+_READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|cookies?|consent|newsletter|subscribe)(?:$|[\s_-])", re.I)
+# What a class says beside a word of the list where it means a part of the text: the head of a post, social history.
+_OF_TEXT = re.compile(
+    r"(?<![^\s])(?:(?:entry|post|article|story|chapter|section)[_-]header|social[_-](?!(?:bar|box|buttons?|feed|follow|icons?|links?|list|"
+    r"media|menu|nav\w*|network\w*|share|sharing|widget|wrap\w*)(?:$|[\s_-]))\w+)(?![^\s])",
+    re.I,
+)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "out", "points", "text", "linked")
+    __slots__ = ("name", "parent", "children", "out", "doubt", "inside", "block", "points", "text", "linked")
 
-    def __init__(self, name: str, parent: Node | None, out: bool) -> None:
+    def __init__(self, name: str, parent: Node | None, out: bool, doubt: str = "") -> None:
         self.name, self.parent, self.out = name, parent, out
+        self.doubt = doubt  # class, id and role that speak against it
+        self.inside = name in ("article", "main") or (parent is not None and parent.inside)
+        self.block: Node = self if parent is None or name in BLOCKS else parent.block
         self.children: list[Node | str] = []
         self.points = 0.0
         self.text = self.linked = 0
@@ -58,7 +72,15 @@ class Node:
 def parse(html: str) -> Node:
     """Tree of the elements, with what is never main text marked."""
     root = node = Node("html", None, False)
+    opened = Counter()  # by name, from the node up
     at = 0
+
+    def close(until: Node) -> None:
+        up = node
+        while up is not until:
+            opened[up.name] -= 1
+            up = up.parent
+
     while at < len(html):
         found = _MARKUP.search(html, at)
         if found is None:
@@ -71,19 +93,23 @@ def parse(html: str) -> Node:
         if not name:
             continue
         if found[1]:
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
+            if opened[name]:
+                up = node
+                while up.name != name:
+                    up = up.parent
+                close(up.parent)
                 node = up.parent
             continue
         if name in BLOCKS:
-            node = _close(node, name)
+            up = _close(node, name)
+            close(up)
+            node = up
         attributes = found[3]
         named = " ".join(m.strip("\"'") for m in _NAMES.findall(attributes)) if attributes else ""
-        unwanted = bool(named and name not in ("body", "html", "article", "main") and _UNWANTED.search(named))
-        inside = name == "header" and _within(node, ("article", "main"))
-        out = node.out or (name in LEFT_OUT and not inside) or unwanted or bool(attributes and _HIDDEN.search(attributes))
+        if named and (name in ("body", "html", "article", "main") or not _UNWANTED.search(_OF_TEXT.sub(" ", named))):
+            named = ""
+        inside = name == "header" and node.inside
+        out = node.out or (name in LEFT_OUT and not inside) or bool(attributes and _HIDDEN.search(attributes))
         if name == "br":
             node.children.append(" ")
         elif name in VOID:
@@ -93,26 +119,55 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
         else:
-            new = Node(name, node, out)
+            new = Node(name, node, out, named)
             node.children.append(new)
             if not attributes.endswith("/"):
                 node = new
+                opened[name] += 1
+    judge(root)
     return root
 
 
-def _within(node: Node | None, names: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.name in names:
-            return True
-        node = node.parent
-    return False
+def judge(root: Node) -> None:
+    """Leave out the nodes in doubt, but those that hold the article; the outer ones are judged first."""
+    order: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    if not any(node.doubt and not node.out for node in order):
+        return
+    own: dict[Node, int] = {}  # prose below that no inner node in doubt holds
+    all_: dict[Node, int] = {}
+    signs: dict[Node, int] = {}  # 1: an article, 2: an h1 or main
+    for node in reversed(order):
+        if node.out or node.name == "a":
+            own[node] = all_[node] = signs[node] = 0
+            continue
+        below = [c for c in node.children if isinstance(c, Node)]
+        plain = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        own[node] = plain + sum(0 if c.doubt else own[c] for c in below)
+        all_[node] = plain + sum(all_[c] for c in below)
+        signs[node] = 2 if node.name in ("h1", "main") else int(node.name == "article")
+        for c in below:
+            signs[node] |= signs[c]
+    prose = own[root]
+    for node in order:
+        if node.parent is not None and node.parent.out:
+            node.out = True
+        elif node.doubt and not node.out:
+            readers = bool(_READERS.search(node.doubt))
+            holds = signs[node] >= (2 if readers else 1) and all_[node] >= 4 * prose
+            if all_[node] and (holds or (prose == 0 and not readers)):
+                prose += own[node]
+            else:
+                node.out = True
 
 
 def _close(node: Node, name: str) -> Node:
     """Where a block starts: outside of an open paragraph or heading, and of an open item of its own kind."""
-    up = node
-    while up.parent is not None and up.name not in BLOCKS:
-        up = up.parent
+    up = node.block
     if up.parent is not None and (up.name == "p" or up.name in HEADINGS or (up.name == name and name in ("li", "td", "th", "tr", "dt", "dd", "option"))):
         return up.parent
     return node
@@ -198,7 +253,7 @@ def main_text(html: str | None) -> str:
         for node in best.parent.children:
             if not isinstance(node, Node) or node.out:
                 continue
-            prose = node.name in ("p", "pre", "blockquote", "ul", "ol", "table") and node.text and density(node) < 0.25
+            prose = node.text and density(node) < 0.25 and (node.name in PROSE or (node.name == "div" and best.parent.inside))
             if node is best or node.name in HEADINGS or prose or value(node) >= enough:
                 chosen.append(node)
     return "\n".join(blocks(chosen))
