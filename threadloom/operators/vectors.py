@@ -15,7 +15,8 @@ from threadloom.functions.hashing import vector_id
 from threadloom.functions.text import embed_preview
 from threadloom.functions.vectors import cosine, hash_embedding
 
-QUERY_BLOCK_ROWS = 1024
+QUERY_BLOCK_ROWS = 8192
+PRODUCT_ROWS = 512  # queries of one matrix product
 VECTOR_BLOCK_ROWS = 16384
 SLACK = 1e-6  # far above the rounding difference between the two ways to compute a score
 
@@ -74,32 +75,37 @@ def _block_best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         ids = vectors["id"].to_numpy()
         width_v = vectors["vector"].map(len).to_numpy()
-        width_q = queries["probe"].map(len).to_numpy()
-        # Other widths stay at similarity 0.
-        score = np.zeros((len(queries), len(vectors)))
-        for width in set(width_q) & set(width_v) - {0}:
-            qi, vi = np.flatnonzero(width_q == width), np.flatnonzero(width_v == width)
-            left = _unit_rows([queries["probe"].iloc[i] for i in qi])
-            right = _unit_rows([vectors["vector"].iloc[i] for i in vi])
-            score[np.ix_(qi, vi)] = left @ right.T
+        right = {
+            width: (at := np.flatnonzero(width_v == width), _unit_rows([vectors["vector"].iloc[i] for i in at]))
+            for width in set(width_v) - {0}
+        }
         out = []
-        for row, (query, probe) in enumerate(zip(queries["query_id"], queries["probe"])):
-            line = score[row]
-            # A matrix product finds the candidates, ties and near ties included; they are then
-            # scored with single-precision products like the column expression.
-            floor = np.partition(line, -k)[-k] - SLACK if k < len(line) else -np.inf
-            near = np.flatnonzero(line >= floor)
-            a = np.asarray(probe, dtype=np.float32)
-            exact = np.array(
-                [
-                    _exact(a, np.asarray(vectors["vector"].iloc[i], dtype=np.float32))
-                    if width_v[i] == len(a) > 0
-                    else 0.0
-                    for i in near
-                ]
-            )
-            for i in np.lexsort((ids[near], -exact))[:k]:
-                out.append((query, ids[near[i]], exact[i]))
+        for start in range(0, len(queries), PRODUCT_ROWS):
+            some = queries.iloc[start : start + PRODUCT_ROWS]
+            width_q = some["probe"].map(len).to_numpy()
+            # Other widths stay at similarity 0.
+            score = np.zeros((len(some), len(vectors)))
+            for width in set(width_q) & set(right):
+                qi, (vi, units) = np.flatnonzero(width_q == width), right[width]
+                left = _unit_rows([some["probe"].iloc[i] for i in qi])
+                score[np.ix_(qi, vi)] = left @ units.T
+            for row, (query, probe) in enumerate(zip(some["query_id"], some["probe"])):
+                line = score[row]
+                # A matrix product finds the candidates, ties and near ties included; they are then
+                # scored with single-precision products like the column expression.
+                floor = np.partition(line, -k)[-k] - SLACK if k < len(line) else -np.inf
+                near = np.flatnonzero(line >= floor)
+                a = np.asarray(probe, dtype=np.float32)
+                exact = np.array(
+                    [
+                        _exact(a, np.asarray(vectors["vector"].iloc[i], dtype=np.float32))
+                        if width_v[i] == len(a) > 0
+                        else 0.0
+                        for i in near
+                    ]
+                )
+                for i in np.lexsort((ids[near], -exact))[:k]:
+                    out.append((query, ids[near[i]], exact[i]))
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     return best
