@@ -122,3 +122,20 @@ def test_no_rows_and_no_secrets(spark):
     assert masking.mask_parts(df.limit(0), "id", ["piece"], "text", "m", "n").count() == 0
     assert masking.mask_parts(df, "id", ["piece"], "text", "m", "n").first() == (1, 1, "a b", "a b", 0)
     assert masking.mask(spark.createDataFrame([(None,)], "t string"), "t").first() == (None, None, 0)
+
+
+def test_masking_makes_a_few_python_texts_at_a_time(spark, monkeypatch):
+    """A batch of many texts is not held as Python objects as a whole; the slices give the same rows in the same order."""
+    import pyarrow as pa
+
+    from threadloom.functions import masking
+
+    held = []
+    whole = pa.array
+    monkeypatch.setattr(masking.pa, "array", lambda values, *rest: held.append(len(values)) or whole(values, *rest))
+    run = masking._mask_batch(["EMAIL"])
+    texts = whole(["a@b.org", None, "", "x"] * 500)
+    out = run(texts).to_pylist()
+    assert max(held) <= masking.TEXTS_AT_ONCE and len(out) == 2000
+    assert out[:4] == out[-4:] and out[1] == {"text": None, "counts": [0]} and out[0]["counts"] == [1]
+    assert len(run(texts.slice(0, 0))) == 0

@@ -6,6 +6,8 @@ text is in ``secrets``; here Arrow batches of texts go through it, and texts in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,25 +26,32 @@ from threadloom.functions.secrets import (
 from threadloom.session import cut_lineage, release
 
 VALUES_PER_ROW = 20_000
+TEXTS_AT_ONCE = 64  # texts of a batch that are Python objects at one time
 
 _MASKED = pa.struct([("text", pa.string()), ("counts", pa.list_(pa.int32()))])
 _CUT = pa.struct([("first", pa.int32()), ("at_end", pa.bool_())])
 _OPEN = pa.struct([("closed", pa.bool_()), ("open", pa.bool_())])
 
 
-def _masked(text: Column, names: list[str]) -> Column:
-    """struct<text, counts>: the masked text and the number of items per rule; a null text stays null, without items."""
-
+def _mask_batch(names: list[str]) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
         rules = [r for r in RULES if r.name in names]
-        out = []
-        for value in texts.to_pylist():
-            masked, counts = mask_text(value, rules) if value is not None else (None, [0] * len(rules))
-            out.append({"text": masked, "counts": counts})
-        return pa.array(out, _MASKED)
+        parts = []
+        for start in range(0, max(len(texts), 1), TEXTS_AT_ONCE):
+            out = []
+            for value in texts.slice(start, TEXTS_AT_ONCE).to_pylist():
+                masked, counts = mask_text(value, rules) if value is not None else (None, [0] * len(rules))
+                out.append({"text": masked, "counts": counts})
+            parts.append(pa.array(out, _MASKED))
+        return pa.concat_arrays(parts)
 
+    return run
+
+
+def _masked(text: Column, names: list[str]) -> Column:
+    """struct<text, counts>: the masked text and the number of items per rule; a null text stays null, without items."""
     # Not to be run a second time where the optimizer would copy it into a filter.
-    return F.arrow_udf(run, "text string, counts array<int>").asNondeterministic()(text)
+    return F.arrow_udf(_mask_batch(names), "text string, counts array<int>").asNondeterministic()(text)
 
 
 def mask(
