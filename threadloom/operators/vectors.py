@@ -16,8 +16,10 @@ from threadloom.functions.text import embed_preview
 from threadloom.functions.vectors import cosine, hash_embedding
 
 QUERY_BLOCK_ROWS = 8192
-PRODUCT_ROWS = 512  # queries of one matrix product
 VECTOR_BLOCK_ROWS = 16384
+BLOCK_GROWTH = 4  # blocks of large tables have at most as many times those rows
+BLOCKS = 8  # blocks per side from which on they grow instead of becoming more
+PRODUCT_CELLS = 1 << 23  # similarities of one matrix product, 64 MB
 SLACK = 1e-6  # far above the rounding difference between the two ways to compute a score
 
 
@@ -80,8 +82,9 @@ def _block_best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
             for width in set(width_v) - {0}
         }
         out = []
-        for start in range(0, len(queries), PRODUCT_ROWS):
-            some = queries.iloc[start : start + PRODUCT_ROWS]
+        at_once = max(PRODUCT_CELLS // max(len(vectors), 1), 1)
+        for start in range(0, len(queries), at_once):
+            some = queries.iloc[start : start + at_once]
             width_q = some["probe"].map(len).to_numpy()
             # Other widths stay at similarity 0.
             score = np.zeros((len(some), len(vectors)))
@@ -111,21 +114,28 @@ def _block_best(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     return best
 
 
+def block_rows(rows: int, least: int) -> int:
+    """Rows of a block: ``least`` for up to ``BLOCKS`` blocks, then more, up to ``BLOCK_GROWTH`` times as many."""
+    return min(max(least, ceil(rows / BLOCKS)), BLOCK_GROWTH * least)
+
+
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
     k: int,
-    query_block: int = QUERY_BLOCK_ROWS,
-    vector_block: int = VECTOR_BLOCK_ROWS,
+    query_block: int | None = None,
+    vector_block: int | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest ``vectors(id, vector)`` of each of ``queries(query_id, probe)``.
 
     Both sides are cut into blocks of bounded size by hash, every block of queries meets every block of
     vectors in one task as a matrix product, and only its best ``k`` per query leave the task. A final
-    window keeps the best ``k`` of those. Ties go to the smaller id. Neither side is broadcast.
+    window keeps the best ``k`` of those. Ties go to the smaller id. Neither side is broadcast. Unless given, the sizes of
+    the blocks grow with the tables up to a bound: every row travels once per block of the other side.
     """
-    query_blocks = max(ceil(queries.count() / query_block), 1)
-    vector_blocks = max(ceil(vectors.count() / vector_block), 1)
+    n_queries, n_vectors = queries.count(), vectors.count()
+    query_blocks = max(ceil(n_queries / (query_block or block_rows(n_queries, QUERY_BLOCK_ROWS))), 1)
+    vector_blocks = max(ceil(n_vectors / (vector_block or block_rows(n_vectors, VECTOR_BLOCK_ROWS))), 1)
 
     def blocked(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n_own))).withColumn(
