@@ -165,6 +165,16 @@ def test_collocations_do_not_depend_on_the_tables(spark, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(docs, 3).collect())) == want != []
 
 
+def test_prefixes_are_summed_where_the_texts_are(spark):
+    """A chunk gives one row per distinct prefix and one per language, however many windows begin with it."""
+    docs = spark.createDataFrame([("l", b"a b c d a b c d. " * 500), ("l", b""), ("l", None)], "lang string, text binary").coalesce(1)
+    everything = collocations.Table(np.full(4096, 255, np.uint8), 1 << 15)
+    rows = [tuple(r) for r in collocations.prefixes(docs, [everything] * 2).collect()]
+    counts = {phrase: n for _, phrase, n in rows}
+    assert len(rows) == len(counts) == 1 + 4 + 4 + 4 + 4
+    assert (counts[None], counts["a"], counts["d a"], counts["b c d"], counts["a b c d"]) == (4000, 1000, 500, 1000, 1000)
+
+
 def test_scores_beyond_64_bits(spark):
     big = 9_000_000_000_000
     counts = spark.createDataFrame([("l", ["a"], big, "a"), ("l", ["b"], big + 1, "b"), ("l", ["a", "b"], big - 1, "a b")], "lang string, words array<string>, f long, phrase string")

@@ -1,8 +1,8 @@
 """Collocations: word sequences that occur far more often together than their parts do apart.
 
-Counting is by top-order marginalisation. Each word opens one window: the word and its lead columns, up to ``WIDEST`` words
-of its piece, padded with nulls. Only these longest windows are counted; ``ROLLUP`` over their columns sums them to every
-shorter prefix, down to the number of words per language. No other order is ever exploded.
+Counting is by top-order marginalisation. Each word opens one window: the word and those behind it, up to ``WIDEST`` words
+of its piece. Where the texts are, the windows of a chunk are summed to each of their prefixes, down to the number of words
+per language; a prefix is one row of a chunk however many windows begin with it, and Spark sums those rows by phrase.
 
 Windows are cut short before they are counted, by a rule that loses no count that matters: a phrase that occurs
 ``min_count`` times holds no pair and no triple of neighbours that occurs less often. Pairs are counted by their 64-bit
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,42 +145,48 @@ def frequent(docs: DataFrame, min_count: int, tables: list[Table]) -> Table:
     return Table(blocks, bits)
 
 
-def windows(docs: DataFrame, tables: list[Table]) -> DataFrame:
-    """``lang, w1, .., n``: windows padded with nulls, cut before what the tables of 2 and 3 words do not have, counted per chunk."""
-    names = [f"w{k + 1}" for k in range(WIDEST)]
+def prefixes(docs: DataFrame, tables: list[Table]) -> DataFrame:
+    """``lang, phrase, n``: the prefixes of all windows, cut before what the tables of 2 and 3 words do not have, per chunk.
 
-    def cut(words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of every distinct window, 0 as padding, and how often it is there."""
+    The row without a phrase counts the words of a language.
+    """
+
+    def cut(words: Words) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """For each length the numbers of the words of every distinct prefix, a column each, and how often it is there."""
         ids = words.ids()
         pairs, triples = words.marks(tables)[0]
         start = np.flatnonzero(ids != 0)
-        alone = start[~pairs[start]]
-        found, counts = np.unique(ids[alone], return_counts=True)
-        singles = np.zeros((len(found), WIDEST), np.int64)
-        singles[:, 0] = found
+        found, counts = np.unique(ids[start], return_counts=True)
+        yield [found], counts
         start = start[pairs[start]]
-        columns, ok = [ids[start], ids[start + 1]], np.ones(len(start), bool)
-        for k in range(2, WIDEST):
-            ok = ok & triples[start + k - 2]
-            columns.append(np.where(ok, ids[start + k], 0))
-        key = np.zeros(len(start), np.int64)
-        for values in columns:  # dense after each step, so two of them fit into 64 bits
-            _, key = np.unique(key * len(words.words) + values, return_inverse=True)
-        _, first, times = np.unique(key, return_index=True, return_counts=True)
-        several = np.stack([c[first] for c in columns], axis=1)
-        return np.concatenate([singles, several]), np.concatenate([counts, times])
+        key = ids[start]
+        for k in range(1, WIDEST):
+            if k > 1:
+                ok = triples[start + k - 2]
+                start, key = start[ok], key[ok]
+            # Dense after each step, so two of them fit into 64 bits.
+            _, first, key, counts = np.unique(
+                key * len(words.words) + ids[start + k], return_index=True, return_inverse=True, return_counts=True
+            )
+            yield [ids[start[first] + j] for j in range(k + 1)], counts
 
     def work(batch: pa.RecordBatch):
         for words in _chunks(batch):
-            rows, counts = cut(words)
-            distinct, places = np.unique(rows, return_inverse=True)
-            named = pa.array([None if i == 0 else words.words[i] for i in distinct.tolist()], pa.binary()).cast(pa.string())
-            places = places.reshape(rows.shape)
-            taken = [named.take(pa.array(places[:, k])) for k in range(WIDEST)]
-            langs = pa.array(words.languages(rows[:, 0]), pa.string())
-            yield record(["lang", *names, "n"], [langs, *taken, pa.array(counts.astype(np.int64))])
-
-    return map_batches(docs, work, f"lang string, {', '.join(f'{n} string' for n in names)}, n long")
+            for columns, counts in cut(words):
+                distinct, places = np.unique(np.concatenate(columns), return_inverse=True)
+                named = pa.array([words.words[i] for i in distinct.tolist()], pa.binary()).cast(pa.string())
+                taken = [named.take(pa.array(part)) for part in np.split(places.ravel(), len(columns))]
+                phrase = pc.binary_join_element_wise(*taken, " ") if len(taken) > 1 else taken[0]
+                langs = pa.array(words.languages(columns[0]), pa.string())
+                yield record(["lang", "phrase", "n"], [langs, phrase, pa.array(counts.astype(np.int64))])
+                if len(columns) == 1:
+                    total: dict[str, int] = {}
+                    for lang, n in zip(langs.to_pylist(), counts.tolist(), strict=True):
+                        total[lang] = total.get(lang, 0) + n
+                    nothing = pa.nulls(len(total), pa.string())
+                    yield record(["lang", "phrase", "n"], [pa.array(list(total), pa.string()), nothing, pa.array(list(total.values()), pa.int64())])
+
+    return map_batches(docs, work, "lang string, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -191,13 +198,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
     tables: list[Table] = []
     for _ in range(2, WIDEST):
         tables.append(frequent(rows, min_count, tables))
-    names = [f"w{k + 1}" for k in range(WIDEST)]
-    summed = windows(rows, tables).rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
-    # The level has a bit for each column that is summed over; what is left as null is padding.
-    size = sum((F.col("level").bitwiseAND(F.lit(1 << k)) == 0).cast("int") for k in range(WIDEST))
-    words = F.slice(F.array(*names), F.lit(1), size)
-    kept = summed.where((F.col("level") < 1 << WIDEST) & ((size == 0) | (F.col("f") >= min_count)))
-    return cut_lineage(kept.select("lang", words.alias("words"), "f").where(~F.exists("words", lambda w: w.isNull())))
+    summed = prefixes(rows, tables).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    kept = summed.where(F.col("phrase").isNull() | (F.col("f") >= min_count))
+    words = F.coalesce(F.split("phrase", " "), F.array().cast("array<string>"))
+    return cut_lineage(kept.select("lang", words.alias("words"), "f"))
 
 
 def _exact(c: Column, digits: int) -> Column:
