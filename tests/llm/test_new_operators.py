@@ -311,3 +311,26 @@ def test_leaves_and_boxes_give_the_same_pairs():
         got = [b.to_pylist() for b in join._tree_pairs(iter(arrow.to_batches(max_chunksize=size)))]
         assert {(r["a"], r["b"]) for part in got for r in part} == want
     assert want and not list(join._tree_pairs(iter([])))
+
+
+def test_near_copies_are_joined_in_as_many_pairs_as_there_are():
+    """A group of near copies that are no class yet: its tree would give the pairs of all with all."""
+    import pyarrow as pa
+
+    from threadloom.llm import ngram_join as join
+
+    m = 200
+    points = np.full((m, join.GROUPS), 1, np.uint8)
+    points[np.arange(m), np.arange(m)] = 0
+    numbers = {"node": np.arange(m) + 7, "root": np.arange(m) + 7, "token": np.zeros(m), "i": np.zeros(m), "j": np.zeros(m)}
+    columns = {k: pa.array(v.astype(np.int64)) for k, v in numbers.items()}
+    columns |= {k: pa.array(np.full(m, join.GROUPS - 1)) for k in ("n", "rest")}
+    columns |= {"right": pa.array([False] * m), "counts": pa.array([p.tobytes() for p in points])}
+    (batch,) = pa.table(columns).to_batches()
+    everything = {tuple(r.values()) for b in join._tree_pairs(iter([batch])) for r in b.to_pylist()}
+    some = {tuple(r.values()) for b in join._nearest_pairs(iter([batch])) for r in b.to_pylist()}
+    assert len(everything) == m * (m - 1) // 2 and len(some) == m - 1 and some <= everything
+    reached = {7}
+    for _ in range(m):
+        reached |= {x for pair in some if reached & {*pair} for x in pair}
+    assert len(reached) == m

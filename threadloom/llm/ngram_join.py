@@ -13,9 +13,10 @@ that are left, from the branch's own on, suffice for the similarity; so it is at
 
 Links are needed for their classes only. So each branch first offers its members to its smallest one; whole groups of near
 copies become one class by that, in as many pairs as the branch has members. Only branches that still hold several classes
-go on to the tree, one branch for all that have the same members, and only pairs of different classes are looked at there, in tiles of
-bounded size. Copies of one set
-are one node all along.
+go on to the tree, one branch for all that have the same members, and only pairs of different classes are looked at there, in
+tiles of bounded size. The tree is gone through twice. The first time a task verifies only the nearest pairs that join its
+classes, at most one less than it has classes; nearly all links are known by that. What the bounds let through between the
+classes that are left is verified the second time, so no link is lost. Copies of one set are one node all along.
 
 Null and empty texts and texts without words have an empty set and are a class of their own, whose id is the document's.
 Texts shorter than a shingle have one shingle. Repeated rows share a class. An empty table gives no rows.
@@ -136,6 +137,11 @@ def _enough(overlap: np.ndarray, total: np.ndarray) -> np.ndarray:
     return overlap * (100 + PERCENT) >= PERCENT * total
 
 
+def _near(overlap: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The similarity of an overlap, in millionths."""
+    return overlap * 1_000_000 // (total - overlap)
+
+
 def _points(counts) -> np.ndarray:
     """Group counts of the documents, a row each. A count is a byte, or four where the set has a larger one."""
     return np.array([np.frombuffer(c, "u1" if len(c) == GROUPS else "<u4") for c in counts], np.int32).reshape(-1, GROUPS)
@@ -143,6 +149,11 @@ def _points(counts) -> np.ndarray:
 
 def survivors(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
     """``a, b``: pairs of different classes that the bounds of boxes and points let through."""
+    return _near_survivors(left, right, same)[["a", "b"]]
+
+
+def _near_survivors(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    """``a, b, near``: pairs of different classes that the bounds of boxes and points let through, with the similarity allowed."""
     sides = []
     for side in (left, right):
         side = side.sort_values(["n", "node"], ignore_index=True)
@@ -152,7 +163,7 @@ def survivors(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFra
     (a, pa_, ahi, alo, astart), (b, pb, bhi, blo, bstart) = sides
     na, nb, ca, cb = (side[c].to_numpy(np.int64) for c in ("n", "root") for side in (a, b))
     ra, rb = (side["rest"].to_numpy(np.int64) for side in (a, b))
-    out = [[], []]
+    out = [[], [], []]
     for i, start in enumerate(astart):
         boxes = np.flatnonzero(_enough(np.minimum(ahi[i], bhi).sum(1), alo[i] + blo))
         for x in range(start, min(start + BOX, len(a))):
@@ -161,18 +172,21 @@ def survivors(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFra
             y = y[(cb[y] != ca[x]) & _enough(np.minimum(ra[x], rb[y]), na[x] + nb[y])]
             if same:
                 y = y[y > x]
-            y = y[_enough(np.minimum(pa_[x], pb[y]).sum(1), na[x] + nb[y])]
+            both = np.minimum(pa_[x], pb[y]).sum(1)
+            good = _enough(both, na[x] + nb[y])
+            y, both = y[good], both[good]
             out[0].append(np.full(len(y), a["node"][x]))
             out[1].append(b["node"].to_numpy()[y])
-    u, v = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in out)
-    return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+            out[2].append(_near(both, na[x] + nb[y]))
+    u, v, near = (np.concatenate(side) if side else NONE for side in out)
+    return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "near": near}).drop_duplicates(["a", "b"])
 
 
 _CELL = ["token", "i", "j"]
 
 
 def _leaf_pairs(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """As ``survivors`` for groups that are single leaves, all at once: ranges of rows, one group each."""
+    """As ``_near_survivors`` for groups that are single leaves, all at once: ranges of rows, one group each."""
     n, rest, root, node = (rows[c].to_numpy().astype(np.int64) for c in ("n", "rest", "root", "node"))
     end = np.zeros(len(n), np.int64)
     for start, stop in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -187,15 +201,38 @@ def _leaf_pairs(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     found = np.concatenate(out)
     used, places = np.unique(found, return_inverse=True)
     points = _points(rows["counts"].take(pa.array(used)).to_pylist())
-    good = [np.zeros(0, bool)]
+    both, total = [NONE], n[found].sum(1)
     for part in np.array_split(places.reshape(-1, 2), len(found) // 4096 + 1):
-        total = n[used[part]].sum(1)
-        good.append(_enough(np.minimum(points[part[:, 0]], points[part[:, 1]]).sum(1), total))
-    return node[found[np.concatenate(good)]]
-
-
-def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that are left of rows sorted by group; a group that goes on waits for the next batch."""
+        both.append(np.minimum(points[part[:, 0]], points[part[:, 1]]).sum(1))
+    both = np.concatenate(both)
+    good = _enough(both, total)
+    return np.column_stack([np.sort(node[found[good]], 1), _near(both[good], total[good])])
+
+
+def _forest(pairs: np.ndarray, rows: pa.Table) -> np.ndarray:
+    """Of pairs ``a, b, near`` those that join two classes not yet joined by nearer ones: at most as many as there are classes."""
+    node, root = (rows[c].to_numpy() for c in ("node", "root"))
+    known, first = np.unique(node, return_index=True)
+    classes, of_node = np.unique(root[first], return_inverse=True)
+    ends = of_node[np.searchsorted(known, pairs[:, :2])]
+    above, kept = list(range(len(classes))), []
+    for i in np.argsort(-pairs[:, 2], kind="stable").tolist():
+        x, y = ends[i].tolist()
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        while above[y] != y:
+            above[y] = y = above[above[y]]
+        if x != y:
+            above[x] = y
+            kept.append(i)
+    return pairs[kept]
+
+
+def _tree_pairs(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs that are left of rows sorted by group; a group that goes on waits for the next batch.
+
+    With ``forest``, only the nearest ones that join all classes of a batch that are joined by any.
+    """
     waiting = None
     for batch in chain(batches, [None]):
         parts = [x for x in (waiting, batch) if x is not None and x.num_rows]
@@ -218,13 +255,19 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = rows.slice(start, end - start).to_pandas()
             left, right = group[~group["right"]], group[group["right"]]
             if group["i"][0] == group["j"][0]:
-                found.append(survivors(left, left, True).to_numpy(np.int64))
+                found.append(_near_survivors(left, left, True).to_numpy(np.int64))
             elif len(left) and len(right):
-                found.append(survivors(left, right, False).to_numpy(np.int64))
-        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+                found.append(_near_survivors(left, right, False).to_numpy(np.int64))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if forest:
+            pairs = _forest(pairs, rows)
         yield record(["a", "b"], [pairs[:, 0].copy(), pairs[:, 1].copy()])
 
 
+def _nearest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _tree_pairs(batches, forest=True)
+
+
 def _bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs whose points allow the similarity."""
 
@@ -269,32 +312,8 @@ def _made(docs: DataFrame, keys: DataFrame, what: str, kind: str) -> DataFrame:
     return cut_lineage(map_batches(chosen, work, f"node long, {what} {kind}").dropDuplicates(["node"]))
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, key, n, component`` for every document: the size of its set and the smallest id reachable by links."""
-    rows = keyed(docs, id_col, text_col)
-    everything = _sizes(rows)
-    per_doc = everything.where("bucket is null").drop("bucket")
-    frequent = (
-        everything.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "bucket").limit(FREQUENT).orderBy("bucket").toPandas()
-    )
-    filled = per_doc.where("n > 0")
-    branches = cut_lineage(_branches(rows, frequent["bucket"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
-    again = branches.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    again = cut_lineage(again)  # most shingles are in one set; a filter spares them the exchange
-    shared = cut_lineage(may_have(branches, "token", again).join(again, "token", "left_semi").distinct())
-    release(branches, again)
-    heads = shared.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("n", "node", "rest")).alias("head"))
-    spans = shared.join(heads, "token")
-    offered = spans.where("node <> head.node").where(
-        F.least("rest", "head.rest") * (100 + PERCENT) >= (F.col("n") + F.col("head.n")) * PERCENT
-    ).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
-    offered = cut_lineage(offered.distinct())
-    involved = spans.where("members > 2").select("node").union(offered.select("a")).union(offered.select("b")).distinct()
-    keys = filled.groupBy("node").agg(F.min("key").alias("key"))
-    points = _made(rows, keys.join(involved, "node", "left_semi"), "counts", "binary")
-    first = _verify(cut_lineage(_bound(offered, points)), rows, keys)
-    known = components(first)
+def _cells(spans: DataFrame, points: DataFrame, known: DataFrame) -> DataFrame:
+    """Tiles of the members of the branches that hold several classes, sorted by tile."""
     member = spans.where("members > 2").join(known.select("node", "root"), "node", "left")
     member = member.select("token", "node", "n", "rest", "members", F.coalesce("root", "node").alias("root"))
     mixed = (
@@ -322,11 +341,42 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of_cell = ["node", "n", "rest", "counts", "root"]
     left = spread.where("t <= o").select("token", F.col("t").alias("i"), F.col("o").alias("j"), F.lit(False).alias("right"), *of_cell)
     right = spread.where("o < t").select("token", F.col("o").alias("i"), F.col("t").alias("j"), F.lit(True).alias("right"), *of_cell)
-    cells = left.union(right).repartition(*_CELL).sortWithinPartitions(*_CELL)
-    pairs = cut_lineage(cells.mapInArrow(_tree_pairs, "a long, b long").distinct())
-    second = _verify(pairs, rows, keys)
-    release(shared, offered, points, pairs)
-    root = components(first.union(second))
+    return left.union(right).repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, key, n, component`` for every document: the size of its set and the smallest id reachable by links."""
+    rows = keyed(docs, id_col, text_col)
+    everything = _sizes(rows)
+    per_doc = everything.where("bucket is null").drop("bucket")
+    frequent = (
+        everything.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "bucket").limit(FREQUENT).orderBy("bucket").toPandas()
+    )
+    filled = per_doc.where("n > 0")
+    branches = cut_lineage(_branches(rows, frequent["bucket"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+    again = branches.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    again = cut_lineage(again)  # most shingles are in one set; a filter spares them the exchange
+    shared = cut_lineage(may_have(branches, "token", again).join(again, "token", "left_semi").distinct())
+    release(branches, again)
+    heads = shared.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("n", "node", "rest")).alias("head"))
+    spans = shared.join(heads, "token")
+    offered = spans.where("node <> head.node").where(
+        F.least("rest", "head.rest") * (100 + PERCENT) >= (F.col("n") + F.col("head.n")) * PERCENT
+    ).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"))
+    offered = cut_lineage(offered.distinct())
+    involved = spans.where("members > 2").select("node").union(offered.select("a")).union(offered.select("b")).distinct()
+    keys = filled.groupBy("node").agg(F.min("key").alias("key"))
+    points = _made(rows, keys.join(involved, "node", "left_semi"), "counts", "binary")
+    first = _verify(cut_lineage(_bound(offered, points)), rows, keys)
+    links = first
+    for look in (_nearest_pairs, _tree_pairs):
+        cells = _cells(spans, points, components(links))
+        pairs = cut_lineage(cells.mapInArrow(look, "a long, b long").distinct())
+        links = links.union(_verify(pairs, rows, keys))
+        release(pairs)
+    release(shared, offered, points)
+    root = components(links)
     of_node = filled.select("node", "id").join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     component = of_node.groupBy("root").agg(F.min("id").alias("component"))
     named = of_node.select("node", "root").distinct().join(component, "root").select("node", "component")
