@@ -139,3 +139,38 @@ def test_masking_makes_a_few_python_texts_at_a_time(spark, monkeypatch):
     assert max(held) <= masking.TEXTS_AT_ONCE and len(out) == 2000
     assert out[:4] == out[-4:] and out[1] == {"text": None, "counts": [0]} and out[0]["counts"] == [1]
     assert len(run(texts.slice(0, 0))) == 0
+
+
+def test_pieces_get_the_values_that_they_hold(spark, monkeypatch):
+    """Not all values of their text: that made the work grow with pieces times values."""
+    sizes, lists = [], masking._lists_by_piece
+
+    def counted(*args):
+        out = lists(*args)
+        sizes.extend(len(r._values) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(masking, "_lists_by_piece", counted)
+    texts = [[f"a u{g}x{i}@ex.org and u{g}x{i // 2}@ex.org, 10.{g}.{i}.7. " for i in range(40)] for g in range(3)]
+    check_pieces(spark, texts)
+    assert sizes and max(sizes) <= 2
+
+
+def test_values_that_join_placeholders_stay_with_their_pieces(spark):
+    texts = [
+        ["p http://a:[MASK@h/x , ", "q http://a:ED_PASSWORD]z@h/x , ", "[MASK ED_PASSWORD]z [MASKED_PASSWORD]z. "],
+        ["p http://a:b@h/x , ", "b]z bb [b] http://a:]z@h/x , ", "b b]z ]z. "],
+        ["p http://a:b@h/x , ", " q]z b]z. "],
+    ]
+    check_pieces(spark, texts)
+    rng = random.Random(5)
+    part = ["[M", "ASK", "ED_", "PASSWORD", "]", "b", "z", "MASKED", "\xa0", "\x1c"]
+    word = lambda: "".join(rng.choice(part) for _ in range(rng.randint(1, 3)))
+    made_of = lambda: f"http://a:{word()}@h/x , " if rng.random() < 0.4 else f"{word()}{word()}. "
+    check_pieces(spark, [[made_of() for _ in range(rng.randint(1, 6))] for _ in range(300)])
+
+
+def test_more_values_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(masking, "VALUES_PER_TASK", 20)
+    monkeypatch.setattr(masking, "VALUES_PER_ROW", 15)
+    check_pieces(spark, [[" ".join(f"u{(i * 7 + k) % 50}@ex.org" for i in range(30)) + " " for k in range(3)]])
